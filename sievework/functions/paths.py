@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def image_path(path: Column) -> Column:
     r"""One spelling per file: ``\`` becomes ``/`` and leading ``./`` go. Null stays null."""
-    return F.regexp_replace(F.translate(path, "\\", "/"), r"^(\./)+", "")
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(slashed.startswith("./"), F.regexp_replace(slashed, r"^(\./)+", "")).otherwise(slashed)
 
 
 def path_parts(path: Column) -> Column:
