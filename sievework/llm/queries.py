@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import image_path
+from ..functions.paths import dataset_folder, image_path, own_split
 from .linked import group_linked
+from .overlap import cross_split_overlaps
 
 #: A row of near_duplicate_images links its images at a distance from 0 to this.
 MAX_DISTANCE = 4
@@ -29,9 +30,75 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("item").alias("image"), F.col("group_item").alias("group_image"))
 
 
+def reviewed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per review_id, as delivered last: ``id``, ``path``, ``digest`` and the file's own ``split``."""
+    rows = table(spark, folder, "duplicate_review").where(F.col("review_id").isNotNull())
+    last = rows.groupBy("review_id").agg(F.max(F.struct("loaded_at", "file", "sha256", "group_id")).alias("last"))
+    digest = F.lower(F.regexp_replace("last.sha256", r"^\s+|\s+$", ""))
+    return last.select(
+        F.col("review_id").alias("id"),
+        image_path(F.col("last.file")).alias("path"),
+        F.when(digest != "", digest).alias("digest"),
+        own_split(F.col("last.file")).alias("split"),
+        F.col("last.group_id").alias("group_id"),
+    )
+
+
+def overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_split_overlaps(reviewed_files(spark, folder), image_links(spark, folder), own_split)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = overlaps(spark, folder)
+    return found.select(F.least("train_id", "held_id").alias("review_id_a"), F.greatest("train_id", "held_id").alias("review_id_b")).distinct()
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping pairs per split and dataset of the held-out file."""
+    files = reviewed_files(spark, folder).select(F.col("id").alias("held_id"), "split", dataset_folder(F.col("path")).alias("dataset"))
+    pairs = overlaps(spark, folder).groupBy("train_id", "held_id").agg(F.count_if(F.col("how") == "exact").alias("exact"), F.count_if(F.col("how") == "near").alias("near"))
+    return (
+        pairs.join(files, "held_id")
+        .groupBy("split", "dataset")
+        .agg(
+            F.count(F.lit(1)).alias("pairs"),
+            F.count_if(F.col("exact") > 0).alias("exact_pairs"),
+            F.count_if(F.col("near") > 0).alias("near_pairs"),
+            F.count_distinct("held_id").alias("held_out_files"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
 }
 
+#: The same files and links in SQL.
+_PATH = "regexp_replace(replace({0}, chr(92), '/'), '^(\\./)+', '')"
+_FILES = f"""
+  parts as (select review_id, max_by({_PATH.format('file')}, loaded_at) path,
+                   max_by(nullif(lower(trim(sha256, ' ' || chr(9) || chr(10) || chr(13))), ''), loaded_at) digest
+            from duplicate_review group by review_id),
+  cut as (select *, lower(split_part(path, '/', 4)) folder, length(path) - length(replace(path, '/', '')) slashes from parts),
+  files as (select review_id, path, digest, split_part(path, '/', 3) dataset,
+                   case when slashes < 4 then 'raw' when folder in ('val', 'validation') then 'validation'
+                        when folder in ('train', 'test') then folder else 'raw' end split from cut),
+  links as (select distinct {_PATH.format('image_a')} a, {_PATH.format('image_b')} b from near_duplicate_images
+            where distance between 0 and 4 and image_a is not null and image_b is not null),
+  near as (select a, b from links union select b, a from links),
+  train as (select * from files where split = 'train'),
+  held as (select * from files where split in ('validation', 'test')),
+  found as (select t.review_id train_id, h.review_id held_id, 1 exact, 0 near from train t join held h on t.digest = h.digest
+            union all
+            select t.review_id, h.review_id, 0, 1 from near n join train t on t.path = n.a join held h on h.path = n.b),
+  pairs as (select train_id, held_id, max(exact) exact, max(near) near from found group by all)
+"""
+
 #: SQL over the same tables, where SQL can say it on whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": f"with {_FILES} select least(train_id, held_id) review_id_a, greatest(train_id, held_id) review_id_b from pairs",
+    "p5_report": f"""with {_FILES} select h.split, h.dataset, count(*)::bigint pairs, sum(exact)::bigint exact_pairs, sum(near)::bigint near_pairs,
+        count(distinct held_id)::bigint held_out_files from pairs join held h on h.review_id = pairs.held_id group by all""",
+}
