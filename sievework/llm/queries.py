@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import dataset_folder, image_path, own_split
 from .linked import group_linked
+from .mapping import fill, match_values, normalise
 from .overlap import cross_split_overlaps
 
 #: A row of near_duplicate_images links its images at a distance from 0 to this.
@@ -25,6 +26,53 @@ def image_links(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.where(F.col("image_a").isNotNull() & F.col("image_b").isNotNull()).select(image_path(F.col("image_a")).alias("a"), image_path(F.col("image_b")).alias("b"))
 
 
+#: What stands for "no entry is meant".
+REVIEW = "REVIEW_REQUIRED"
+#: At most so many different crops may be taken off labels as noise.
+MAX_CROPS = 10_000
+
+
+def free_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels that still need an entry: ``table_name``, ``row_id``, ``label``."""
+    sides = (("class_mapping", "mapping_id", "original_class"), ("class_taxonomy_review", "taxonomy_id", "raw_class"))
+    filled = F.upper(F.regexp_replace("canonical_class", r"(?U)^\s+|\s+$", ""))
+    open_rows = [
+        table(spark, folder, name)
+        .where(F.col("canonical_class").isNull() | filled.isin("", REVIEW))
+        .select(F.lit(name).alias("table_name"), F.col(row_id).cast("bigint").alias("row_id"), F.col(label).alias("label"))
+        for name, row_id, label in sides
+    ]
+    return open_rows[0].unionByName(open_rows[1]).where(F.col("label").rlike(r"(?U)\S"))
+
+
+def crop_words(spark: SparkSession, folder: str) -> list[str]:
+    """The words of all crops that the two tables name."""
+    crops = [table(spark, folder, name).select("crop") for name in ("class_mapping", "class_taxonomy_review")]
+    found = crops[0].unionByName(crops[1]).select(F.lower(F.trim("crop")).alias("crop")).where("crop != ''").distinct().limit(MAX_CROPS + 1).collect()
+    if len(found) > MAX_CROPS:
+        raise ValueError(f"more than {MAX_CROPS} crops; pass the noise words yourself")
+    return sorted({w for r in found for w in normalise(r[0]).split()})
+
+
+def entry_names(spark: SparkSession, folder: str) -> DataFrame:
+    listed = table(spark, folder, "canonical_classes")
+    aliases = F.coalesce(F.split("aliases", r"\|"), F.array().cast("array<string>"))
+    return listed.select(F.col("canonical_class").alias("entry"), F.explode(F.concat(F.array("canonical_class"), aliases)).alias("name"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = free_labels(spark, folder)
+    matches = match_values(rows, "label", entry_names(spark, folder), noise=crop_words(spark, folder))
+    return fill(rows, "label", matches).select("table_name", "row_id", F.coalesce("entry", F.lit(REVIEW)).alias("canonical_class"))
+
+
+def p2_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels that mean no entry, and on how many rows each stands."""
+    rows = p2_found(spark, folder).where(F.col("canonical_class") == REVIEW)
+    labels = free_labels(spark, folder)
+    return rows.join(labels, ["table_name", "row_id"]).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("table_name").alias("tables"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     groups = group_linked(image_links(spark, folder), "a", "b")
     return groups.select(F.col("item").alias("image"), F.col("group_item").alias("group_image"))
@@ -70,6 +118,8 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_unmatched": p2_unmatched,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_report": p5_report,
