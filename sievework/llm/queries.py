@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import dataset_folder, image_path, own_split
+from .garbled import examine_texts
 from .linked import group_linked
 from .mapping import fill, match_values, normalise
 from .overlap import cross_split_overlaps
@@ -117,12 +118,22 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return examine_texts(table(spark, folder, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return examine_texts(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", F.col("restored").alias("text"), "complete")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
 }
 
 #: The same files and links in SQL.
