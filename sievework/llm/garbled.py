@@ -72,6 +72,16 @@ def text_grams(text: str) -> np.ndarray:
     return np.unique(np.concatenate([code[wide], two[near2], three[near2[:-1] | wide[2:]]]))
 
 
+def _encode(text: str, encoding: str) -> bytes | None:
+    """The inverse of ``_decode``."""
+    try:
+        if encoding.startswith("cp125"):
+            return b"".join(c.encode(encoding) if ord(c) > 0x9F or ord(c) < 0x80 else c.encode("latin-1") for c in text)
+        return text.encode(encoding)
+    except UnicodeEncodeError:
+        return None
+
+
 def _decode(data: bytes, encoding: str) -> str | None:
     """As browsers do: bytes that a Windows code page leaves open become control characters."""
     try:
@@ -99,6 +109,10 @@ def garbled_forms(gram: str) -> Iterator[tuple[str, str, bool]]:
                     yield seen.lower(), f"{written}>{read}", True
             elif len(seen) <= 3 and (len(gram) > 1 or written == "gbk"):
                 yield seen, f"{written}>{read}", False
+    # control characters are often dropped once they have come about
+    bare = _CONTROL.sub("", gram.encode("utf-8", "replace").decode("latin-1"))
+    if len(gram) > 1 and bare != gram and 2 <= len(bare) <= 3:
+        yield bare, "utf-8>latin-1 without controls", False
 
 
 def _keeps(seen: str, pair: str, structural: bool, n: int, m: int) -> bool:
@@ -181,7 +195,7 @@ class Matcher:
             start = end + 1 - len(seen)
             for original, pair, structural in means:
                 if structural:
-                    whole.append((start, end + 1, original))
+                    whole.append(_widest(text, start, end + 1, original, pair.split(">")[1]))
                 else:
                     windows[pair].append((start, end + 1, original))
         agreed = []
@@ -226,6 +240,21 @@ class Matcher:
         return found or lost, restored, not lost
 
 
+def _widest(text: str, start: int, end: int, original: str, read: str) -> tuple[int, int, str]:
+    """A structural match, widened to the whole run of characters around it if all of that is UTF-8 read wrongly."""
+    left, right = start, end
+    while left > 0 and ord(text[left - 1]) > 127 and start - left < 256:
+        left -= 1
+    while right < len(text) and ord(text[right]) > 127 and right - end < 256:
+        right += 1
+    if (left, right) != (start, end) and (data := _encode(text[left:right], read)) is not None:
+        try:
+            return left, right, data.decode("utf-8")
+        except UnicodeDecodeError:
+            pass
+    return start, end, original
+
+
 def _with_digits(seen: str, original: str) -> str:
     """Patterns hold 0 for every digit; the digits of the text come back in their order."""
     digits = iter([c for c in seen if c in "0123456789"])
