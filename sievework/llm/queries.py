@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import dataset_folder, image_path, own_split
+from ..functions.paths import dataset_folder, image_path, label_folder, own_split
 from .garbled import examine_texts
 from .linked import group_linked
 from .mapping import fill, match_values, normalise
+from .mixing import mix
 from .overlap import cross_split_overlaps
+from .packing import pack
+from .proportions import sample_to_targets, shares_reached
+from .splits import split_records, spread_report
+from .tokens import token_lengths
 
 #: A row of near_duplicate_images links its images at a distance from 0 to this.
 MAX_DISTANCE = 4
@@ -27,6 +32,56 @@ def image_links(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.where(F.col("image_a").isNotNull() & F.col("image_b").isNotNull()).select(image_path(F.col("image_a")).alias("a"), image_path(F.col("image_b")).alias("b"))
 
 
+def class_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """class_analysis with a ``category`` per field that targets can name, each in one spelling.
+
+    Crops: lower case without blanks around. Classes: lower-case words joined
+    with ``_``, without the row's crop in front (also followed by ``leaf``) or
+    behind. The threshold flag: by ``images`` where that is a possible count,
+    as the flag may be null or contradict it.
+    """
+    words = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    name, crop = words(F.substring_index("class", "___", -1)), F.coalesce(words(F.col("crop")), F.lit(""))
+    bare = (
+        F.when(crop == "", name)
+        .when(F.startswith(name, F.concat(crop, F.lit(" leaf "))), F.substr(name, F.length(crop) + 7))
+        .when(F.startswith(name, F.concat(crop, F.lit(" "))), F.substr(name, F.length(crop) + 2))
+        .when(F.endswith(name, F.concat(F.lit(" "), crop)), F.substr(name, F.lit(1), F.length(name) - F.length(crop) - 1))
+        .otherwise(name)
+    )
+    flag = F.when(F.col("images") >= 0, F.col("images") >= 100).otherwise(F.col("meets_100_image_threshold"))
+    filled = lambda c: F.when(c != "", c)
+    return table(spark, folder, "class_analysis").select(
+        "analysis_id", "images",
+        filled(F.lower(F.trim("crop"))).alias("crop"), filled(F.replace(bare, F.lit(" "), F.lit("_"))).alias("class"), flag.cast("string").alias("meets_100_image_threshold"),
+    )
+
+
+#: target_set of sample_targets and the field it is about.
+SAMPLE_SETS = (("by_class", "class"), ("by_crop", "crop"), ("by_threshold", "meets_100_image_threshold"))
+
+
+def set_targets(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    spelled = F.regexp_replace(F.lower(F.trim("category")), "[^a-z0-9]+", "_")
+    return table(spark, folder, "sample_targets").where(F.col("target_set") == name).select(spelled.alias("category"), "target_share", "min_rows")
+
+
+def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
+    parts = []
+    for name, field in SAMPLE_SETS:
+        sample, _ = sample_to_targets(class_rows(spark, folder), "analysis_id", field, set_targets(spark, folder, name))
+        parts.append(sample.select(F.lit(name).alias("target_set"), F.col(field).alias("category"), "analysis_id", "images"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    parts = []
+    for name, field in SAMPLE_SETS:
+        sample, plan = sample_to_targets(class_rows(spark, folder), "analysis_id", field, set_targets(spark, folder, name))
+        parts.append(shares_reached(sample, field, F.col("images"), plan).select(F.lit(name).alias("target_set"), "*"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 #: What stands for "no entry is meant".
 REVIEW = "REVIEW_REQUIRED"
 #: At most so many different crops may be taken off labels as noise.
@@ -93,6 +148,34 @@ def reviewed_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def class_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Images per class: the largest count of each dataset, split and class, added up."""
+    rows = table(spark, folder, "class_inventory").where(F.col("class").isNotNull() & (F.col("image_count") >= 0))
+    cells = rows.groupBy("dataset", F.lower("split").alias("split"), "class").agg(F.max("image_count").alias("images"))
+    return cells.groupBy(F.col("class").alias("label")).agg(F.sum("images").alias("size"))
+
+
+def split_shares(spark: SparkSession, folder: str) -> dict[str, float]:
+    rows = table(spark, folder, "split_targets").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1000 splits")
+    return {r["split"]: r["target_share"] for r in rows}
+
+
+def file_splits(spark: SparkSession, folder: str) -> DataFrame:
+    files = reviewed_files(spark, folder).select(F.col("id").alias("record"), label_folder(F.col("path")).alias("label"))
+    edges = table(spark, folder, "duplicate_review").select(F.col("review_id").alias("record"), F.col("group_id").alias("entity"))
+    return split_records(files, edges, split_shares(spark, folder), class_sizes(spark, folder))
+
+
+def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return file_splits(spark, folder).select(F.col("record").alias("review_id"), "component", F.col("label").alias("class"), "split")
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_report(file_splits(spark, folder), split_shares(spark, folder), class_sizes(spark, folder)).withColumnRenamed("label", "class")
+
+
 def overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return cross_split_overlaps(reviewed_files(spark, folder), image_links(spark, folder), own_split)
 
@@ -118,6 +201,37 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sized = token_lengths(table(spark, folder, "documents"), "text", ["doc_id"])
+    kinds = table(spark, folder, "pack_limits").select("container", F.col("capacity_tokens").alias("capacity"))
+    return pack(sized, "doc_id", "tokens", kinds)
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind: containers, tokens in them, room left, and the least number of containers that could do."""
+    kinds = table(spark, folder, "pack_limits").select("container", "capacity_tokens")
+    boxes = p6_containers(spark, folder).groupBy("container", "container_id").agg(F.sum("length").alias("tokens"), F.max("free").alias("free"))
+    return (
+        boxes.groupBy("container")
+        .agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("free").alias("free"))
+        .join(kinds, "container")
+        .select("container", "containers", "tokens", "free", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"))
+    )
+
+
+def mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sized = token_lengths(table(spark, folder, "documents"), "text", ["doc_id", "source"])
+    return mix(sized, "doc_id", "source", "tokens", table(spark, folder, "mix_targets"))
+
+
+def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(spark, folder)[0]
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(spark, folder)[1]
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return examine_texts(table(spark, folder, "documents"), "doc_id", "text").select("doc_id")
 
@@ -127,11 +241,19 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_sample": p1_sample,
+    "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_unmatched": p2_unmatched,
     "p3_found": p3_found,
+    "p4_splits": p4_splits,
+    "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p6_containers": p6_containers,
+    "p6_report": p6_report,
+    "p7_uses": p7_uses,
+    "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_restored": p8_restored,
 }
@@ -157,8 +279,33 @@ _FILES = f"""
   pairs as (select train_id, held_id, max(exact) exact, max(near) near from found group by all)
 """
 
+_SAMPLE = """
+  spelled as (select analysis_id, images, nullif(lower(trim(crop)), '') crop,
+                     trim(regexp_replace(lower(list_last(string_split(class, '___'))), '[^a-z0-9]+', ' ', 'g')) name,
+                     coalesce(trim(regexp_replace(lower(crop), '[^a-z0-9]+', ' ', 'g')), '') c,
+                     (case when images >= 0 then images >= 100 else meets_100_image_threshold end)::varchar flag from class_analysis),
+  cut as (select *, case when c = '' then name when starts_with(name, c || ' leaf ') then substr(name, length(c) + 7)
+                         when starts_with(name, c || ' ') then substr(name, length(c) + 2)
+                         when ends_with(name, ' ' || c) then left(name, length(name) - length(c) - 1) else name end bare from spelled),
+  kept as (select analysis_id, images, unnest([{'s': 'by_class', 'c': nullif(replace(bare, ' ', '_'), '')}, {'s': 'by_crop', 'c': crop}, {'s': 'by_threshold', 'c': flag}]) k from cut),
+  rows as (select k.s target_set, k.c category, analysis_id, images, ('0x' || substr(md5('|' || analysis_id), 1, 15))::bigint h from kept),
+  targets as (select target_set, regexp_replace(lower(trim(category)), '[^a-z0-9]+', '_', 'g') category, target_share, min_rows from sample_targets),
+  counted as (select t.*, (select count(*) from rows r where r.target_set = t.target_set and r.category = t.category) available from targets t),
+  sized as (select *, floor(0.2 * sum(available) over (partition by target_set) + 0.5) size from counted),
+  wanted as (select *, greatest(floor(target_share * size + 0.5)::bigint, min_rows) wanted from sized),
+  ranked as (select r.*, w.wanted, row_number() over (partition by r.target_set, r.category order by h, analysis_id) rank from rows r join wanted w using (target_set, category)),
+  sampled as (select * from ranked where rank <= wanted)
+"""
+
 #: SQL over the same tables, where SQL can say it on whole tables.
 SQL: dict[str, str] = {
+    "p1_sample": f"with {_SAMPLE} select target_set, category, analysis_id, images from sampled",
+    "p1_report": f"""with {_SAMPLE},
+  reached as (select target_set, category, count(*) sampled, sum(greatest(coalesce(images, 0), 0)) amount from sampled group by all),
+  joined as (select w.*, coalesce(sampled, 0) sampled, coalesce(amount, 0) amount from wanted w left join reached using (target_set, category))
+  select target_set, category, target_share, min_rows, available, wanted, sampled::bigint sampled, greatest(0, wanted - available)::bigint deficit,
+         (sampled / sum(sampled) over (partition by target_set))::double share, (amount / sum(amount) over (partition by target_set))::double amount_share,
+         wanted <= available met from joined""",
     "p5_found": f"with {_FILES} select least(train_id, held_id) review_id_a, greatest(train_id, held_id) review_id_b from pairs",
     "p5_report": f"""with {_FILES} select h.split, h.dataset, count(*)::bigint pairs, sum(exact)::bigint exact_pairs, sum(near)::bigint near_pairs,
         count(distinct held_id)::bigint held_out_files from pairs join held h on h.review_id = pairs.held_id group by all""",
