@@ -29,8 +29,8 @@ def require_pair(items: DataFrame, group: str, split: str, leakage: Column) -> D
     """``items`` unchanged; raises when it is read if a group with leakage hasn't exactly one train and one test item."""
     whole = Window.partitionBy(group)
     count = lambda s: F.count_if(F.col(split) == s).over(whole)
-    broken = leakage & ((count("train") != 1) | (count("test") != 1))
-    return items.where(F.when(broken, F.raise_error(F.lit("a leaking group needs one train and one test item"))).otherwise(F.lit(True)))
+    judged = items.withColumn("_broken", leakage & ((count("train") != 1) | (count("test") != 1)))
+    return judged.where(F.when(F.col("_broken"), F.raise_error(F.lit("a leaking group needs one train and one test item"))).otherwise(F.lit(True))).drop("_broken")
 
 
 def audit_totals(decisions: DataFrame, group: str) -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+
+_TYPES = {"string": StringType(), "int": IntegerType(), "bigint": LongType(), "boolean": BooleanType()}
+
+
+def _schema(ddl: str) -> StructType:
+    """As StructType.fromDDL, which needs a running session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
 
 REPORTS: dict[str, StructType] = {
-    name: StructType.fromDDL(ddl)
+    name: _schema(ddl)
     for name, ddl in {
         "dataset_inventory": "file string, source string, crop string, class string, width int, height int, format string, status string, warning string",
         "class_analysis": "crop string, source string, class string, images bigint, healthy boolean, meets_100_image_threshold boolean",

@@ -15,7 +15,11 @@ from ..functions.vocabulary import IMAGE_SUFFIXES
 
 
 def list_files(spark: SparkSession, root: str, suffixes: Iterable[str] = IMAGE_SUFFIXES) -> DataFrame:
-    """``path``, ``length``, ``modificationTime`` and ``is_image`` of all files below ``root``; contents are not read."""
+    """``path``, ``length``, ``modificationTime`` and ``is_image`` of all files below ``root``.
+
+    Contents are not read. Files of no bytes are left out, as Spark's scans
+    do; so are they in the other scans here.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select("path", "length", "modificationTime", suffix(F.col("path")).isin(*suffixes).alias("is_image"))
 
