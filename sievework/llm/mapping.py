@@ -34,6 +34,8 @@ PLANT_PARTS = (
 
 #: Words that are all plant parts mean an entry only if so much like its whole name.
 PARTS_ALIKE = 0.8
+#: Below this share of a name's letters, every word of the name has to be hinted at.
+SHORT = 0.75
 #: Candidates per value that are compared letter by letter.
 CANDIDATES = 12
 
@@ -90,6 +92,18 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - one[-1] / longer
 
 
+def names_every_word(reading: str, name: str) -> bool:
+    """Whether a reading much shorter than a name still hints at each of the name's words, as abbreviations do."""
+    said, meant = reading.split(), name.split()
+    letters, whole = sum(map(len, said)), sum(map(len, meant))
+    if letters >= SHORT * whole:
+        return True
+    starts = {w[0] for w in said}
+    if len(said) == 1 and letters >= 0.6 * whole:
+        starts |= set(said[0])  # words written together
+    return all(w[0] in starts for w in meant)
+
+
 def match_values(
     values: DataFrame,
     value: str,
@@ -123,7 +137,8 @@ def match_values(
         for b in batches:
             alike = [edit_similarity(r.replace(" ", ""), n.replace(" ", "")) for r, n in zip(b["reading"], b["name"], strict=True)]
             only_parts = [all(w in parts for w in r.split()) for r in b["reading"]]
-            b["score"] = [0.0 if p and e < PARTS_ALIKE else c + e for c, e, p in zip(b["cosine"], alike, only_parts, strict=True)]
+            unsaid = [(p and e < PARTS_ALIKE) or not names_every_word(r, n) for r, n, e, p in zip(b["reading"], b["name"], alike, only_parts, strict=True)]
+            b["score"] = [0.0 if u else c + e for c, e, u in zip(b["cosine"], alike, unsaid, strict=True)]
             yield b[["reading", "entry", "score"]]
 
     labels = values.select(F.col(value).cast("string").alias("label")).where(F.col("label").isNotNull()).distinct()
