@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The folder right below the dataset's, which follows the first ``raw`` part, or is the first part if no part is ``raw``.
+_BELOW_DATASET = r"(?i)^/*(?:(?:.*?/)??raw/+[^/]+|(?!(?:.*/)?raw(?:/|$))[^/]+)/+([^/]+)/+[^/]"
+
+
 def image_path(path: Column) -> Column:
     r"""One spelling per file: ``\`` becomes ``/`` and leading ``./`` go. Null stays null."""
     slashed = F.replace(path, F.lit("\\"), F.lit("/"))
@@ -23,16 +27,9 @@ def own_split(path: Column) -> Column:
     The dataset folder follows ``raw``; without a ``raw`` folder it is the
     first part. ``val`` counts as validation; case is ignored.
     """
-    parts = path_parts(path)
-    raw = F.array_position(F.transform(parts, F.lower), "raw").cast("int")
-    folder = F.lower(F.get(parts, raw + 1))
-    is_folder = F.size(parts) > raw + 2  # the last part is the file itself
-    return (
-        F.when(path.isNull(), None)
-        .when(is_folder & folder.isin("val", "validation"), "validation")
-        .when(is_folder & folder.isin("train", "test"), folder)
-        .otherwise("raw")
-    )
+    folder = F.regexp_extract(image_path(path), _BELOW_DATASET, 1)
+    names = F.create_map(*[F.lit(x) for x in ("train", "train", "test", "test", "val", "validation", "validation", "validation")])
+    return F.when(path.isNotNull(), F.coalesce(F.try_element_at(names, F.lower(folder)), F.lit("raw")))
 
 
 def dataset_folder(path: Column) -> Column:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import block_key, hamming, join_sorted, yes_no
+from ..functions.text import block_key, hex_halves, yes_no
+from ..storage import stage
+from .skew import hot_keys
+
+#: A block of fingerprints with fewer rows isn't spread; a hot one is over so many tasks.
+HOT_BLOCK, SALTS = 1_000, 64
 
 
 def duplicate_groups(items: DataFrame, digest: str, item: str) -> DataFrame:
@@ -34,20 +39,13 @@ def group_profile(items: DataFrame, group: str, raw: str = "raw") -> DataFrame:
     two or more splits other than ``raw``; ``train_and_test``: both present.
     """
     known = items.where(F.col(group).isNotNull())
-    profile = known.groupBy(group).agg(
-        F.count(F.lit(1)).alias("group_size"),
-        join_sorted(F.col("dataset")).alias("datasets"),
-        join_sorted(F.col("split")).alias("splits"),
-        join_sorted(F.col("label")).alias("labels"),
-        (F.count_distinct(F.when(F.col("split") != raw, F.col("split"))) > 1).alias("_leak"),
-        (F.count_distinct("label") > 1).alias("_conflict"),
-        (F.count_distinct("dataset") > 1).alias("_cross"),
-        (F.bool_or(F.col("split") == "train") & F.bool_or(F.col("split") == "test")).alias("_both"),
-    )
-    return profile.where("group_size > 1").select(
-        group, "group_size", (F.col("group_size") - 1).alias("redundant_files"), "datasets", "splits", "labels",
-        yes_no(F.col("_leak")).alias("split_leakage"), yes_no(F.col("_conflict")).alias("label_conflict"), yes_no(F.col("_cross")).alias("cross_dataset"),
-        yes_no(F.col("_both")).alias("train_and_test"),
+    sets = known.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"), *[F.array_sort(F.collect_set(c)).alias(f"_{c}") for c in ("dataset", "split", "label")])
+    joined = lambda c: F.array_join(f"_{c}", "|").alias(f"{c}s")
+    leak = F.size(F.array_remove("_split", raw)) > 1
+    both = F.array_contains("_split", "train") & F.array_contains("_split", "test")
+    return sets.where("group_size > 1").select(
+        group, "group_size", (F.col("group_size") - 1).alias("redundant_files"), joined("dataset"), joined("split"), joined("label"),
+        yes_no(leak).alias("split_leakage"), yes_no(F.size("_label") > 1).alias("label_conflict"), yes_no(F.size("_dataset") > 1).alias("cross_dataset"), yes_no(both).alias("train_and_test"),
     )
 
 
@@ -80,11 +78,18 @@ def near_pairs(items: DataFrame, item: str, fingerprint: str, most: int = 4, dig
     which items share one, so no pair is lost and copies aren't multiplied.
     """
     known = items.where(F.col(fingerprint).isNotNull() & F.col(item).isNotNull())
-    values = known.groupBy(F.col(fingerprint).alias("hash")).agg(F.min(item).alias("item")).withColumn("block", block_key(F.col("hash"), digits))
-    a = values.select("block", F.col("hash").alias("hash_a"), F.col("item").alias("item_a"))
-    b = values.select("block", F.col("hash").alias("hash_b"), F.col("item").alias("item_b"))
-    met = a.join(b, "block").where(F.col("item_a") < F.col("item_b")).withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b")))
-    return met.where(F.col("distance") <= most).where("hash_a != hash_b").select("distance", "item_a", "item_b")
+    high, low = hex_halves(F.col("hash"))
+    values = known.groupBy(F.col(fingerprint).alias("hash")).agg(F.min(item).alias("item"))
+    values = stage(values.select(block_key(F.col("hash"), digits).alias("block"), "item", high.alias("high"), low.alias("low")), "fingerprints")
+    hot = hot_keys(values, "block", values.count(), least=HOT_BLOCK, share=0.001)
+    is_hot = F.col("block").isin(hot) if hot else F.lit(False)
+    # a hot block's left rows are spread over tasks, each with all its right rows
+    salt = F.when(is_hot, F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(SALTS - 1)).otherwise(F.lit(0))))
+    side = lambda end, place: values.select("block", place.alias("salt"), *[F.col(c).alias(f"{c}_{end}") for c in ("item", "high", "low")])
+    distance = F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b")))
+    met = side("a", salt).join(side("b", salts), ["block", "salt"]).where((F.col("item_a") < F.col("item_b")) & (distance <= most))
+    return met.select(distance.alias("distance"), "item_a", "item_b")
 
 
 def distance_histogram(pairs: DataFrame) -> DataFrame:
