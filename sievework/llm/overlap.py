@@ -80,9 +80,10 @@ def cross_split_overlaps(files: DataFrame, links: DataFrame, split_of: Callable[
     digests = lambda df, who: df.where(F.col("digest").isNotNull()).select(F.col("digest").alias("key"), who)
     paths = lambda df, who: df.where(F.col("path").isNotNull()).select(F.col("path").alias("key"), who)
 
-    sa, sb = split_of(F.col("a")), split_of(F.col("b"))
-    held_a, held_b = sa.isin("validation", "test"), sb.isin("validation", "test")
-    across = links.select("a", "b").where((held_a & (sb == "train")) | (held_b & (sa == "train")))
+    # one comparison, so that each path's split is worked out once
+    both = F.concat_ws(">", split_of(F.col("a")), split_of(F.col("b")))
+    across = links.select("a", "b").where(both.isin("train>validation", "train>test", "validation>train", "test>train"))
+    held_a = split_of(F.col("a")) != "train"
     across = across.select(
         F.when(held_a, F.col("b")).otherwise(F.col("a")).alias("train_path"),
         F.when(held_a, F.col("a")).otherwise(F.col("b")).alias("key"),
