@@ -306,6 +306,13 @@ SQL: dict[str, str] = {
   select target_set, category, target_share, min_rows, available, wanted, sampled::bigint sampled, greatest(0, wanted - available)::bigint deficit,
          (sampled / sum(sampled) over (partition by target_set))::double share, (amount / sum(amount) over (partition by target_set))::double amount_share,
          wanted <= available met from joined""",
+    "p3_found": f"""with recursive p as (select {_PATH.format('image_a')} a, {_PATH.format('image_b')} b from near_duplicate_images
+      where distance between 0 and 4 and image_a is not null and image_b is not null),
+  n as (select i, row_number() over (order by i) k from (select a i from p where a <> b union select b from p where a <> b)),
+  d as (select x.k a, y.k b from p join n x on x.i = p.a join n y on y.i = p.b where p.a <> p.b),
+  e as (select a, b from d union select b, a from d),
+  low(k, r) as (select k, k from n union select e.b, low.r from low join e on e.a = low.k where low.r < e.b)
+  select n.i image, m.i group_image from (select k, min(r) r from low group by k) g join n on n.k = g.k join n m on m.k = g.r""",
     "p5_found": f"with {_FILES} select least(train_id, held_id) review_id_a, greatest(train_id, held_id) review_id_b from pairs",
     "p5_report": f"""with {_FILES} select h.split, h.dataset, count(*)::bigint pairs, sum(exact)::bigint exact_pairs, sum(near)::bigint near_pairs,
         count(distinct held_id)::bigint held_out_files from pairs join held h on h.review_id = pairs.held_id group by all""",
