@@ -53,15 +53,16 @@ def number_groups(groups: DataFrame, *order: Column) -> DataFrame:
     """``group_id`` from 1 in the order given, which must be total.
 
     Ranges of the order are numbered in parallel and offset by the counts of
-    the ranges before, so no task sees all groups.
+    the ranges before, so no task sees all groups. The ranges are written
+    once, as another run might cut them elsewhere.
     """
     spread = groups.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = spread.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
     # within a partition the id counts up from partition * 2**33
-    placed = rows.withColumn("_at", F.col("_row") - F.shiftleft(F.col("_part").cast("bigint"), 33))
+    numbered = spread.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    rows = stage(numbered.withColumn("_row", F.col("_row") - F.shiftleft(F.col("_part").cast("bigint"), 33)), "numbered")
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(before), "_part").withColumn("group_id", F.col("_before") + F.col("_at") + 1).drop("_part", "_row", "_at", "_before")
+    return rows.join(F.broadcast(before), "_part").withColumn("group_id", F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")
 
 
 def copies(items: DataFrame, item: str, fingerprint: str) -> DataFrame:
