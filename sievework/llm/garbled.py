@@ -42,7 +42,6 @@ RARE_BYTES, RARE_LETTERS, RARE_PAIR = 0.5, 0.05, 0.03
 #: More patterns than this mean that the rules don't fit the corpus.
 MAX_PATTERNS = 1_000_000
 
-_DIGITS = str.maketrans("123456789", "000000000")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#x[0-9A-Fa-f]{1,6});")
 _BITS = 21
@@ -60,12 +59,19 @@ def unpack(code: int) -> str:
     return out
 
 
+def _codes(text: str) -> np.ndarray:
+    """Code points with every digit as 0; arrays do this many times faster than str.translate beyond ASCII."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    code[(code > 48) & (code < 58)] = 48
+    return code
+
+
 def text_grams(text: str) -> np.ndarray:
     """The distinct 1-, 2- and 3-grams of a text that hold a character beyond ASCII, digits made equal, packed."""
-    code = np.frombuffer(text.translate(_DIGITS).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    wide = code > 127
-    if not wide.any():
+    if text.isascii():
         return np.zeros(0, np.int64)
+    code = _codes(text).astype(np.int64)
+    wide = code > 127
     two = code[:-1] | (code[1:] << _BITS)
     three = two[:-1] | (code[2:] << (2 * _BITS))
     near2 = wide[:-1] | wide[1:]
@@ -189,7 +195,7 @@ class Matcher:
         """Spans to replace, (start, end, original), left to right and not overlapping; empty if the text is clean."""
         if self.automaton is None or text.isascii():
             return []
-        plain = text.translate(_DIGITS)
+        plain = _codes(text).tobytes().decode("utf-32-le", "surrogatepass")
         whole, windows = [], defaultdict(list)
         for end, (seen, means) in self.automaton.iter(plain):
             start = end + 1 - len(seen)
