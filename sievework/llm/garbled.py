@@ -81,7 +81,7 @@ def text_grams(text: str) -> np.ndarray:
 def _encode(text: str, encoding: str) -> bytes | None:
     """The inverse of ``_decode``."""
     try:
-        if encoding.startswith("cp125"):
+        if encoding.startswith("cp125") and _CONTROL.search(text):
             return b"".join(c.encode(encoding) if ord(c) > 0x9F or ord(c) < 0x80 else c.encode("latin-1") for c in text)
         return text.encode(encoding)
     except UnicodeEncodeError:
@@ -196,12 +196,15 @@ class Matcher:
         if self.automaton is None or text.isascii():
             return []
         plain = _codes(text).tobytes().decode("utf-32-le", "surrogatepass")
-        whole, windows = [], defaultdict(list)
+        whole, windows, settled = [], defaultdict(list), {}
         for end, (seen, means) in self.automaton.iter(plain):
             start = end + 1 - len(seen)
             for original, pair, structural in means:
                 if structural:
-                    whole.append(_widest(text, start, end + 1, original, pair.split(">")[1]))
+                    # what lies in a run that was replaced as a whole needs no look of its own
+                    if start >= settled.get(pair, 0):
+                        whole.append(_widest(text, start, end + 1, original, pair.split(">")[1]))
+                        settled[pair] = whole[-1][1]
                 else:
                     windows[pair].append((start, end + 1, original))
         agreed = []
