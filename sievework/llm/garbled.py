@@ -3,7 +3,10 @@
 Garbled sequences are precomputed: every short character sequence that is
 common in the corpus is encoded with each encoding and decoded with each other
 one. What comes out is kept as a pattern if the corpus holds it, but rarely
-compared with its original, over all documents. One multi-pattern automaton
+compared with its original, over all documents, or if no language writes it so
+(`telling`): then it may be as frequent as it likes. UTF-8 read with a
+single-byte encoding is also known by its byte sequences alone, without any
+counts (`structural_spans`). One multi-pattern automaton
 then finds all patterns in a text in a single pass. Only matched spans are
 replaced; text around them stays as it is, so correct text with unusual
 characters is left alone.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,7 +48,20 @@ MAX_PATTERNS = 1_000_000
 
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#x[0-9A-Fa-f]{1,6});")
+_RUN = re.compile("[^\x00-\x7f]+")
 _BITS = 21
+#: Before the pair of a pattern that is too frequent for the counts and is kept for its form.
+TOLD = "by form: "
+#: Signs that close a word or follow it in clean text, also in capitals or beside units.
+_CLOSING = frozenset("\xa0…”“’‘»«›‹–—™®°²³¹ªº·•±×÷¼½¾")
+#: Characters that a single UTF-8 sequence may stand for; others (phonetic, ancient) need more than one in a run.
+IN_USE = (
+    (0xA0, 0x17F), (0x192, 0x192), (0x1A0, 0x1A1), (0x1AF, 0x1B0), (0x218, 0x21B), (0x2C6, 0x2DD), (0x300, 0x30C), (0x323, 0x323), (0x386, 0x3CE), (0x400, 0x45F),
+    (0x900, 0x97F), (0x1E00, 0x1EFF), (0x200B, 0x206F), (0x2070, 0x209C), (0x20A0, 0x20C0), (0x2100, 0x22FF), (0x2300, 0x27BF), (0x2B00, 0x2BFF), (0x3000, 0x30FF),
+    (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFB00, 0xFB04), (0xFE0E, 0xFE0F), (0xFEFF, 0xFEFF), (0xFF00, 0xFFEE), (0xFFFD, 0xFFFD), (0x1F000, 0x1FAFF),
+)
+#: Signs that clean text sets directly beside letters.
+_BESIDE = frozenset("\xa0\xad\u200b\u200c\u200d\u2011°²³©®™’‘“”„‚«»‹›–—―…•·×±÷€£¥§µªº、。,·!?:;()《》「」『』【】।॥\ufe0f")
 
 
 def pack(gram: str) -> int:
@@ -129,6 +146,37 @@ def _keeps(seen: str, pair: str, structural: bool, n: int, m: int) -> bool:
     return m <= (RARE_LETTERS if seen.isalpha() else RARE_BYTES) * n
 
 
+def _alien(c: str) -> bool:
+    """Neither letter, digit nor a sign that clean text sets beside letters."""
+    return ord(c) > 127 and c not in _BESIDE and not c.isalpha() and not c.isspace()
+
+
+@lru_cache(maxsize=4096)
+def _script(c: str) -> str:
+    # a sign for a unit goes with any script
+    return unicodedata.name(c, "").split(" ")[0] if c.isalpha() and c not in "µμªºΩΔπ\u2126\u212a\u212b" else ""
+
+
+def strained(gram: str) -> bool:
+    """Whether no language writes a sequence so: a sign or another script against a letter, a capital beyond ASCII after a small letter."""
+    for a, b in zip(gram, gram[1:], strict=False):
+        if ord(a) < 128 and ord(b) < 128:
+            continue
+        if (a.isalpha() and _alien(b)) or (_alien(a) and a not in "¿¡" and b.isalpha()):
+            return True
+        if a.isalpha() and b.isalpha() and ("" != _script(a) != _script(b) != "" or (a.islower() and b.isupper() and ord(b) > 127)):
+            return True
+    return False
+
+
+def telling(seen: str, original: str) -> bool:
+    """Whether a garbled form proves itself by how it is written, however many documents hold it."""
+    if strained(original) or not any(c.isalpha() for c in original):
+        return False
+    foreign = len(seen) == 3 and all(ord(c) > 127 and _script(c) == "LATIN" for c in seen) and all(_script(c) == "CYRILLIC" for c in original)
+    return foreign or strained(seen)
+
+
 def gram_counts(docs: DataFrame, text: str) -> DataFrame:
     """``gram`` (packed) and in how many documents it stands; each batch is counted before anything moves."""
 
@@ -155,25 +203,28 @@ def find_patterns(docs: DataFrame, text: str) -> list[tuple[str, str, str, bool]
             for code, n in zip(b["gram"], b["n"], strict=True):
                 gram = unpack(code)
                 for seen, pair, structural in garbled_forms(gram):
-                    if len(seen) == 4:
-                        rows.append((-1, seen, gram, pair, structural, n))
-                    else:
-                        rows.append((pack(seen), seen, gram, pair, structural, n))
-            yield pd.DataFrame(rows, columns=["gram", "seen", "original", "pair", "structural", "n"])
+                    proves = not structural and not pair.startswith(("utf-8", "gbk")) and telling(seen, gram)
+                    rows.append((-1 if len(seen) == 4 else pack(seen), seen, gram, pair, structural, proves, n))
+            yield pd.DataFrame(rows, columns=["gram", "seen", "original", "pair", "structural", "proves", "n"])
 
-    made = common.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(forms, "gram bigint, seen string, original string, pair string, structural boolean, n bigint")
+    made = common.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(forms, "gram bigint, seen string, original string, pair string, structural boolean, proves boolean, n bigint")
     met = made.join(counts.select("gram", F.col("n").alias("m")), "gram", "left").where((F.col("m") > 0) | (F.col("gram") == -1))
     limit = (
         F.when(~F.col("structural"), F.greatest(F.lit(1.0), RARE_PAIR * F.col("n")))
         .when(F.substring_index("pair", ">", -1).isin(*CYRILLIC), RARE_PAIR * F.col("n"))
         .otherwise(RARE_BYTES * F.col("n"))
     )
-    rare = met.where(F.coalesce("m", F.lit(0)) <= limit)
-    best = rare.groupBy("seen", "pair").agg(F.max(F.struct("n", "original", "structural", F.coalesce("m", F.lit(0)).alias("m"))).alias("b"))
+    rare = met.where(F.col("proves") | (F.coalesce("m", F.lit(0)) <= limit))
+    best = rare.groupBy("seen", "pair").agg(F.max(F.struct("n", "original", "structural", "proves", F.coalesce("m", F.lit(0)).alias("m"))).alias("b"))
     rows = best.select("seen", "pair", "b.*").limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError("too many garbled patterns")
-    return sorted((r["seen"], r["original"], r["pair"], r["structural"]) for r in rows if _keeps(r["seen"], r["pair"], r["structural"], r["n"], r["m"]))
+    kept = []
+    for r in rows:
+        counted = _keeps(r["seen"], r["pair"], r["structural"], r["n"], r["m"])
+        if counted or r["proves"]:
+            kept.append((r["seen"], r["original"], r["pair"] if counted else TOLD + r["pair"], r["structural"]))
+    return sorted(kept)
 
 
 class Matcher:
@@ -193,11 +244,11 @@ class Matcher:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Spans to replace, (start, end, original), left to right and not overlapping; empty if the text is clean."""
-        if self.automaton is None or text.isascii():
+        if text.isascii():
             return []
         plain = _codes(text).tobytes().decode("utf-32-le", "surrogatepass")
         whole, windows, settled = [], defaultdict(list), {}
-        for end, (seen, means) in self.automaton.iter(plain):
+        for end, (seen, means) in self.automaton.iter(plain) if self.automaton else ():
             start = end + 1 - len(seen)
             for original, pair, structural in means:
                 if structural:
@@ -207,21 +258,24 @@ class Matcher:
                         settled[pair] = whole[-1][1]
                 else:
                     windows[pair].append((start, end + 1, original))
-        agreed = []
-        for found in windows.values():
-            at, long = defaultdict(int), defaultdict(int)
-            for start, end, _ in found:
-                for i in range(start, end):
-                    if ord(plain[i]) > 127:
-                        at[i] += 1
-                        long[i] += end - start == 3
-            agreed += [w for w in found if any(at[i] >= 3 and long[i] >= 2 for i in range(w[0], w[1]) if ord(plain[i]) > 127)]
-        out, covered = [], 0
-        for start, end, original in sorted(whole + agreed, key=lambda s: (s[0], s[0] - s[1])):
-            if start >= covered:
-                out.append((start, end, original))
-                covered = end
-        return out
+        agreed, told = [], []
+        for pair, found in windows.items():
+            if not pair.startswith(TOLD):
+                agreed += _agreed(plain, found)
+                continue
+            written, read = pair.removeprefix(TOLD).split(">")
+            sure = _agreed(plain, found + windows.get(f"{written}>{read}", []))
+            if sure:
+                told.append(_lines_undone(text, sure, written, read) + sure)
+        # what the corpus shows goes before what the form alone says
+        out: list[tuple[int, int, str]] = []
+        taken = np.zeros(len(text), bool)
+        for spans in (whole + agreed, structural_spans(text), *sorted(told, key=len, reverse=True)):
+            for start, end, original in sorted(spans, key=lambda s: (s[0], s[0] - s[1])):
+                if not taken[start:end].any():
+                    out.append((start, end, original))
+                    taken[start:end] = True
+        return sorted(out)
 
     def restore(self, text: str, passes: int = 4) -> tuple[str, bool]:
         """The text with matched spans replaced, again for text garbled more than once, and whether any span matched."""
@@ -250,7 +304,7 @@ class Matcher:
 
 
 def _widest(text: str, start: int, end: int, original: str, read: str) -> tuple[int, int, str]:
-    """A structural match, widened to the whole run of characters around it if all of that is UTF-8 read wrongly."""
+    """A structural match, widened to as much of the run of characters around it as is UTF-8 read wrongly."""
     left, right = start, end
     while left > 0 and ord(text[left - 1]) > 127 and start - left < 256:
         left -= 1
@@ -264,6 +318,123 @@ def _widest(text: str, start: int, end: int, original: str, read: str) -> tuple[
     return start, end, original
 
 
+def _lines_undone(text: str, sure: list[tuple[int, int, str]], written: str, read: str) -> list[tuple[int, int, str]]:
+    """All that isn't ASCII in those lines of ``sure`` that are plain text as a whole under the other reading."""
+    out, last = [], -1
+    for start, _, _ in sorted(sure):
+        if start < last:
+            continue
+        first = text.rfind("\n", 0, start) + 1
+        last = text.find("\n", start)
+        last = len(text) if last < 0 else last
+        data = _encode(text[first:last], read)
+        seen = None if data is None else _decode(data, written)
+        if seen is None or len(seen) != last - first or strained(seen) or any(ord(c) > 127 and not (c.isalpha() or c in _BESIDE or c in "¿¡") for c in seen):
+            continue
+        out += [(*run.span(), seen[run.start() - first : run.end() - first]) for run in _RUN.finditer(text, first, last)]
+    return out
+
+
+@lru_cache(maxsize=None)
+def _byte_of(read: str) -> dict[str, int]:
+    """The byte beyond ASCII that each character was, as ``read`` shows it."""
+    return {c: b for b in range(0x80, 0x100) if (c := _decode(bytes([b]), read))}
+
+
+@lru_cache(maxsize=None)
+def _sequences(read: str) -> re.Pattern:
+    """Lead and trail characters as ``read`` shows the UTF-8 of one character."""
+    of = _byte_of(read)
+    some = lambda low, high: "[" + "".join(re.escape(c) for c, b in of.items() if low <= b <= high) + "]"
+    trail = some(0x80, 0xBF)
+    return re.compile(f"{some(0xC2, 0xDF)}{trail}|{some(0xE0, 0xEF)}{trail}{{2}}|{some(0xF0, 0xF4)}{trail}{{3}}")
+
+
+def utf8_pieces(run: str, read: str) -> list[tuple[int, int, str]]:
+    """(start, end, character) of each valid UTF-8 sequence in a run, left to right."""
+    of, out = _byte_of(read), []
+    for found in _sequences(read).finditer(run):
+        try:
+            out.append((*found.span(), bytes(of[c] for c in found.group()).decode("utf-8")))
+        except UnicodeDecodeError:
+            pass
+    return out
+
+
+def _in_use(c: str) -> bool:
+    return any(low <= ord(c) <= high for low, high in IN_USE)
+
+
+def _improbable(before: str, seq: str, after: str) -> bool:
+    """Whether clean text hardly writes a lead and its trail characters so; a letter with closing signs, or letters in usual case, it does."""
+    lead, trail = seq[0], seq[1:]
+    if lead.isalpha():
+        if any(not t.isalpha() and t not in _CLOSING for t in trail) or (lead.isupper() and before.islower()):
+            return True
+        if before.isalpha() and "" != _script(before) != _script(lead) != "":
+            return True
+        if any(a.islower() and b.isupper() for a, b in zip(seq, seq[1:], strict=False)):
+            return True
+        if any(t.isalpha() for t in trail):
+            return False
+        if after.isalpha() and trail[-1] not in "’‘–—·•":
+            return True
+        return not before.isalpha() and (lead in "ÂÃĂ" or (lead in "ВГ" and all(t in "±×÷°²³¹®·¼½¾" for t in trail)))
+    if unicodedata.category(lead)[0] == "P" and len(seq) == 2:
+        return not trail.isalpha() and trail not in _CLOSING
+    # a drawn line may meet another one, or a word
+    drawn = [0x2500 <= ord(c) <= 0x259F for c in (before or " ") + seq]
+    return not (drawn[1] and (drawn[0] or all(drawn[1:])))
+
+
+@lru_cache(maxsize=100_000)
+def _run_spans(before: str, run: str, after: str) -> tuple[tuple[int, int, str, str, bool], ...]:
+    """(start, end, original, read, whether sure) of what may be UTF-8 in a run; unsure ones need a sure one in the document."""
+    best, reach = (), (False, 0)
+    for read in (*WESTERN, *CYRILLIC):
+        pieces = utf8_pieces(run, read)
+        if not pieces:
+            continue
+        odd = [_improbable(run[a - 1] if a else before, run[a:b], run[b] if b < len(run) else after) for a, b, _ in pieces]
+        whole = sum(b - a for a, b, _ in pieces) == len(run)
+        spans = []
+        if whole and (any(odd) and len(pieces) > 1 and all(c.isprintable() or _in_use(c) for _, _, c in pieces) or all(_in_use(c) for _, _, c in pieces)):
+            spans = [(0, len(run), "".join(c for _, _, c in pieces), read, any(odd))]
+        elif not whole:
+            spans = [(a, b, c, read, True) for (a, b, c), o in zip(pieces, odd, strict=True) if o and run[a].isalpha() and _in_use(c) and not (read in CYRILLIC and run[a:b].isalpha())]
+        # the reading that explains most of the run counts, of equal ones the more usual
+        explains = (any(x[4] for x in spans), sum(x[1] - x[0] for x in spans))
+        if spans and explains > reach:
+            best, reach = tuple(spans), explains
+    return best
+
+
+def _agreed(plain: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Matches of one encoding pair with a character on which three of them agree, two of these of three characters."""
+    at, long = defaultdict(int), defaultdict(int)
+    for start, end, _ in found:
+        for i in range(start, end):
+            if ord(plain[i]) > 127:
+                at[i] += 1
+                long[i] += end - start == 3
+    return [w for w in found if any(at[i] >= 3 and long[i] >= 2 for i in range(w[0], w[1]) if ord(plain[i]) > 127)]
+
+
+def structural_spans(text: str) -> list[tuple[int, int, str]]:
+    """What is UTF-8 read with a single-byte encoding by the form of its byte sequences alone, without any counts."""
+    found, sure = [], set()
+    for run in _RUN.finditer(text):
+        at, seen = run.start(), run.group()
+        if len(seen) < 2:
+            continue
+        spans = (_run_spans if len(seen) <= 64 else _run_spans.__wrapped__)(text[at - 1] if at else "", seen, text[run.end() : run.end() + 1])
+        for a, b, original, read, certain in spans:
+            found.append((at + a, at + b, original, read))
+            if certain:
+                sure.add(read)
+    return [(a, b, original) for a, b, original, read in found if read in sure]
+
+
 def _with_digits(seen: str, original: str) -> str:
     """Patterns hold 0 for every digit; the digits of the text come back in their order."""
     digits = iter([c for c in seen if c in "0123456789"])

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sievework.llm.garbled import Matcher, _decode, examine_texts, find_patterns, pack, text_grams, unpack
+from sievework.llm.garbled import Matcher, _decode, examine_texts, find_patterns, pack, structural_spans, text_grams, unpack
 
 LINES = [
     "L’image 12 a été écartée car la feuille était coupée.", "Größe der Flecken: 43 mm, Ränder bräunlich.", "Night temperature fell to 12 °C – no new rust since then.",
@@ -67,3 +67,19 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert examine_texts(df, "doc_id", "text").count() == 0
     assert Matcher([]).examine("é") == (False, "é", True)
+
+
+@pytest.mark.parametrize(("written", "read", "line"), [("utf-8", "cp1252", 0), ("utf-8", "cp1251", 1), ("cp1251", "cp1252", 4), ("cp1252", "cp437", 0), ("cp1250", "cp1252", 5)])
+def test_a_third_garbled(spark, written, read, line):
+    rng = random.Random(7)
+    bad = _decode(LINES[line].encode(written, "ignore"), read)
+    clean = [(i, "\n".join(rng.choice(LINES) for _ in range(rng.randint(1, 3)))) for i in range(400)]
+    df = spark.createDataFrame([*clean, *[(1000 + i, bad) for i in range(200)]], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["restored"] for r in examine_texts(df, "doc_id", "text").collect()}
+    assert set(got) == set(range(1000, 1200))
+    assert set(got.values()) == {LINES[line].encode(written, "ignore").decode(written)}
+
+
+def test_clean_text_of_the_same_form():
+    clean = ["« bien enlevé\u00a0», dit-il", "Сёмга, всё её", "«École» “Élan”", "3 Å², MAÇÃ…", "СССР» УМ", "├── été\n│", "Große “Maß” und „Maß“", "đường, ượt", "5 µm, kΩ, ΔT, ½ m", "В\u00a0«поле»"]
+    assert [x for x in clean if structural_spans(x)] == []
