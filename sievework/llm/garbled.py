@@ -1,7 +1,7 @@
 """Text that was decoded with the wrong character encoding.
 
-Garbled sequences are precomputed: every short character sequence that is
-common in the corpus is encoded with each encoding and decoded with each other
+Garbled sequences are precomputed: every short character sequence of at
+least three documents is encoded with each encoding and decoded with each other
 one. What comes out is kept as a pattern if the corpus holds it, but rarely
 compared with its original, over all documents, or if no language writes it so
 (`telling`): then it may be as frequent as it likes. UTF-8 read with a
@@ -39,8 +39,8 @@ WESTERN = ("cp1252", "latin-1", "cp1250", "cp1254", "cp437", "cp850", "cp852", "
 CYRILLIC = ("cp1251", "cp866", "koi8-r", "mac-cyrillic", "iso8859-5")
 ASIAN = ("gbk", "big5", "shift_jis", "euc-kr")
 
-#: A sequence counts as common from this share of the documents, and at least LEAST of them.
-COMMON, LEAST = 0.0005, 3
+#: A sequence counts as common from this many documents, however large the corpus is.
+LEAST = 3
 #: A pattern may occur in at most this share of its original's documents: structural, structural of letters only, other.
 RARE_BYTES, RARE_LETTERS, RARE_PAIR = 0.5, 0.05, 0.03
 #: More patterns than this mean that the rules don't fit the corpus.
@@ -193,9 +193,8 @@ def gram_counts(docs: DataFrame, text: str) -> DataFrame:
 
 def find_patterns(docs: DataFrame, text: str) -> list[tuple[str, str, str, bool]]:
     """The corpus's patterns: (garbled, original, pair, structural), from counts over all documents."""
-    total = docs.count()
     counts = stage(gram_counts(docs, text), "grams")
-    common = counts.where(F.col("n") >= max(LEAST, total * COMMON))
+    common = counts.where(F.col("n") >= LEAST)
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -83,3 +83,12 @@ def test_a_third_garbled(spark, written, read, line):
 def test_clean_text_of_the_same_form():
     clean = ["« bien enlevé\u00a0», dit-il", "Сёмга, всё её", "«École» “Élan”", "3 Å², MAÇÃ…", "СССР» УМ", "├── été\n│", "Große “Maß” und „Maß“", "đường, ượt", "5 µm, kΩ, ΔT, ½ m", "В\u00a0«поле»"]
     assert [x for x in clean if structural_spans(x)] == []
+
+
+def test_rare_originals_in_a_large_corpus(spark):
+    filler = [(i, f"plain text {i}") for i in range(12_000)]
+    clean = [(20_000 + i, "Подкормка огурцов") for i in range(4)]
+    twice = _decode(_decode("ľan a café".encode(), "cp1252").encode(), "cp1252")
+    bad = {1_000_000: ("Ä¾an", "ľan"), 1_000_001: (_decode("Подкормка огурцов".encode("cp1251"), "cp1252"), "Подкормка огурцов"), 1_000_002: (twice, "ľan a café")}
+    df = spark.createDataFrame([*filler, *clean, *[(i, t) for i, (t, _) in bad.items()]], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["restored"] for r in examine_texts(df, "doc_id", "text").collect()} == {i: want for i, (_, want) in bad.items()}
