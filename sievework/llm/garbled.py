@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,6 +42,8 @@ ASIAN = ("gbk", "big5", "shift_jis", "euc-kr")
 
 #: A sequence counts as common from this many documents, however large the corpus is.
 LEAST = 3
+#: So many characters in valid UTF-8 sequences one after the other aren't there by chance.
+CERTAIN = 12
 #: A pattern may occur in at most this share of its original's documents: structural, structural of letters only, other.
 RARE_BYTES, RARE_LETTERS, RARE_PAIR = 0.5, 0.05, 0.03
 #: More patterns than this mean that the rules don't fit the corpus.
@@ -246,14 +249,17 @@ class Matcher:
         if text.isascii():
             return []
         plain = _codes(text).tobytes().decode("utf-32-le", "surrogatepass")
-        whole, windows, settled = [], defaultdict(list), {}
+        whole, windows, settled, stretches = [], defaultdict(list), {}, {}
         for end, (seen, means) in self.automaton.iter(plain) if self.automaton else ():
             start = end + 1 - len(seen)
             for original, pair, structural in means:
                 if structural:
                     # what lies in a run that was replaced as a whole needs no look of its own
                     if start >= settled.get(pair, 0):
-                        whole.append(_widest(text, start, end + 1, original, pair.split(">")[1]))
+                        read = pair.split(">")[1]
+                        if read not in stretches:
+                            stretches[read] = utf8_stretches(text, read)
+                        whole.append(_widest(text, start, end + 1, original, stretches[read]))
                         settled[pair] = whole[-1][1]
                 else:
                     windows[pair].append((start, end + 1, original))
@@ -299,24 +305,35 @@ class Matcher:
             if by_entity:
                 restored, found = again, True
         lost = "�" in restored or bool(_CONTROL.search(restored))
-        return found or lost, restored, not lost
+        return found or lost, restored, not lost and not (found and self.spans(restored))
 
 
-def _widest(text: str, start: int, end: int, original: str, read: str) -> tuple[int, int, str]:
-    """A structural match, widened to as much of the run of characters around it as is UTF-8 read wrongly."""
-    left, right = start, end
-    while left > 0 and ord(text[left - 1]) > 127 and start - left < 256:
-        left -= 1
-    while right < len(text) and ord(text[right]) > 127 and right - end < 256:
-        right += 1
-    if (left, right) != (start, end) and (data := _encode(text[left:right], read)) is not None:
-        try:
-            return left, right, data.decode("utf-8")
-        except UnicodeDecodeError:
-            pass
+def _widest(text: str, start: int, end: int, original: str, stretches: list[tuple[int, int, str]]) -> tuple[int, int, str]:
+    """A structural match, widened to the stretch of whole UTF-8 sequences it lies in, however long.
+
+    A short stretch that isn't the whole run around it may be UTF-8 by chance
+    under this reading, so there the match stands alone.
+    """
+    i = bisect_right(stretches, start, key=lambda s: s[0]) - 1
+    if i >= 0 and stretches[i][1] >= end:
+        a, b, _ = stretches[i]
+        if b - a >= CERTAIN or ((a == 0 or text[a - 1].isascii()) and (b == len(text) or text[b].isascii())):
+            return stretches[i]
     return start, end, original
 
 
+def utf8_stretches(text: str, read: str) -> list[tuple[int, int, str]]:
+    """(start, end, decoded) of the longest spans that are nothing but UTF-8 read as ``read``."""
+    out: list[tuple[int, int, list[str]]] = []
+    for a, b, c in utf8_pieces(text, read):
+        if out and out[-1][1] == a:
+            out[-1] = (out[-1][0], b, out[-1][2])
+            out[-1][2].append(c)
+        else:
+            out.append((a, b, [c]))
+    return [(a, b, "".join(c)) for a, b, c in out]
+
+
 def _lines_undone(text: str, sure: list[tuple[int, int, str]], written: str, read: str) -> list[tuple[int, int, str]]:
     """All that isn't ASCII in those lines of ``sure`` that are plain text as a whole under the other reading."""
     out, last = [], -1

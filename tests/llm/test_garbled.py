@@ -92,3 +92,14 @@ def test_rare_originals_in_a_large_corpus(spark):
     bad = {1_000_000: ("Ä¾an", "ľan"), 1_000_001: (_decode("Подкормка огурцов".encode("cp1251"), "cp1252"), "Подкормка огурцов"), 1_000_002: (twice, "ľan a café")}
     df = spark.createDataFrame([*filler, *clean, *[(i, t) for i, (t, _) in bad.items()]], "doc_id bigint, text string")
     assert {r["doc_id"]: r["restored"] for r in examine_texts(df, "doc_id", "text").collect()} == {i: want for i, (_, want) in bad.items()}
+
+
+@pytest.mark.parametrize("read", ["cp1252", "latin-1"])
+def test_long_runs(read):
+    text = "下部叶片发黄、新叶正常。" * 60 + "罕"
+    seen = _decode(text.encode(), read)
+    known = [(_decode(c.encode(), read), c, f"utf-8>{read}", True) for c in "叶新"]
+    assert Matcher(known).examine(seen) == (True, text, True)
+    # a cut sequence in the middle leaves both sides restored
+    cut = Matcher(known).examine(seen[:1000] + seen[1001:])[1]
+    assert cut.startswith(text[:320]) and cut.endswith(text[350:])
