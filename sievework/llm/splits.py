@@ -5,7 +5,8 @@ with a label of its own, and smallest labels are passed to the entities and
 back until none changes; records that end with one label are a component. Then
 whole components are assigned: those of one main class together, the largest
 first, each to the split in which it deviates least from the classes' target
-distribution.
+distribution. Where that takes several tasks, the large components go first,
+all in one, and the tasks share what they leave of the targets.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import hot_keys, lookup
@@ -21,6 +22,8 @@ from ..storage import drop, stage
 
 #: Components that one task assigns one after the other, about.
 COMPONENTS_A_TASK = 20_000
+#: Where there are several tasks, components of at least this part of all records are assigned before them; so many at most.
+LARGE = 10_000
 
 
 def propagate_labels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -48,9 +51,11 @@ def propagate_labels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     raise ValueError(f"labels still change after {max_rounds} rounds")
 
 
-def assign(groups: Mapping[object, Mapping[str, int]], shares: Mapping[str, float], weights: Mapping[str, float]) -> dict[object, str]:
+def assign(groups: Mapping[object, Mapping[str, int]], shares: Mapping[str, float], weights: Mapping[str, float], goals: Mapping[str, Mapping[str, float]] | None = None) -> dict[object, str]:
     """A split for each group of class counts; least weighted squared deviation, largest groups first.
 
+    ``goals`` says how many records of a class each split should get; without
+    it they are the shares of what the groups hold.
     Ties go to the split that is furthest behind its share of the records,
     then to the first by name.
     """
@@ -59,7 +64,10 @@ def assign(groups: Mapping[object, Mapping[str, int]], shares: Mapping[str, floa
     for counts in groups.values():
         for c, n in counts.items():
             whole[c] = whole.get(c, 0) + n
+    if goals is None:
+        goals = {s: {c: shares[s] * n for c, n in whole.items()} for s in names}
     everything = sum(whole.values())
+    wanted = {s: sum(goals[s].values()) for s in names}
     have = {s: dict.fromkeys(whole, 0) for s in names}
     size = dict.fromkeys(names, 0)
     out = {}
@@ -69,9 +77,9 @@ def assign(groups: Mapping[object, Mapping[str, int]], shares: Mapping[str, floa
         best = None
         for s in names:
             # growth of the squared distance to the class targets, and to the size target
-            cost = sum(weights.get(c, 1.0) * k * (2 * (have[s][c] - shares[s] * whole[c]) + k) for c, k in counts.items())
-            cost += n * (2 * (size[s] - shares[s] * everything) + n) / max(everything, 1)
-            rank = (cost, size[s] - shares[s] * everything, s)
+            cost = sum(weights.get(c, 1.0) * k * (2 * (have[s][c] - goals[s][c]) + k) for c, k in counts.items())
+            cost += n * (2 * (size[s] - wanted[s]) + n) / max(everything, 1)
+            rank = (cost, size[s] - wanted[s], s)
             if best is None or rank < best:
                 best = rank
         split = best[2]
@@ -82,6 +90,35 @@ def assign(groups: Mapping[object, Mapping[str, int]], shares: Mapping[str, floa
     return out
 
 
+def _goals(rest: DataFrame, placed: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """``task``, ``label`` and ``goal``: the records each split (by name) should get there, whole numbers.
+
+    They add up to what the classes' targets leave after the ``placed``
+    components. Rounding runs on from task to task, so that a class with a
+    record in each of many tasks is spread over the splits as well.
+    """
+    names = sorted(shares)
+    got = placed.groupBy("label").agg(*[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(F.lit(0))).alias(f"got{i}") for i, s in enumerate(names)])
+    left = [F.greatest(F.col("whole") * F.lit(float(shares[s])) - F.coalesce(f"got{i}", F.lit(0)), F.lit(0.0)) for i, s in enumerate(names)]
+    cells = rest.groupBy("task", "label").agg(F.sum("n").alias("here"), F.max("whole").alias("whole")).join(got, "label", "left")
+    by = Window.partitionBy("label").orderBy(F.xxhash64("task"), "task").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("until", F.sum("here").over(by)).select("task", "label", "here", "until", F.array(*left).alias("left"))
+    total = F.aggregate("left", F.lit(0.0), lambda a, x: a + x)
+    cells = cells.withColumn("total", total)
+
+    def up_to(i: int, count: Column) -> Column:
+        """Records of the first i splits among the first ``count`` of the class."""
+        if i == len(names):
+            return count.cast("double")
+        return F.round(F.aggregate(F.slice("left", 1, i), F.lit(0.0), lambda a, x: a + x) / F.col("total") * count) if i else F.lit(0.0)
+
+    def goal(i: int) -> Column:
+        before = F.col("until") - F.col("here")
+        return up_to(i + 1, F.col("until")) - up_to(i, F.col("until")) - up_to(i + 1, before) + up_to(i, before)
+
+    return cells.select("task", "label", F.array(*[goal(i) for i in range(len(names))]).alias("goal"))
+
+
 def split_records(records: DataFrame, edges: DataFrame, shares: Mapping[str, float], class_sizes: DataFrame, a_task: int = COMPONENTS_A_TASK) -> DataFrame:
     """``record``, ``component`` and ``split`` of every record.
 
@@ -113,6 +150,8 @@ def split_records(records: DataFrame, edges: DataFrame, shares: Mapping[str, flo
     weighed = counts.join(tasked, "component").join(sizes, "label", "left").select("task", "component", "label", "n", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
     kind = dict(members.dtypes)["component"]
 
+    names = sorted(shares)
+
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         groups: dict = {}
         for component, label, n in zip(rows["component"].tolist(), rows["label"].tolist(), rows["n"].tolist(), strict=True):
@@ -120,10 +159,25 @@ def split_records(records: DataFrame, edges: DataFrame, shares: Mapping[str, flo
         here = rows.groupby("label")["n"].sum().to_dict()
         counted = rows.groupby("label")["size"].max().to_dict()
         weights = {c: 1.0 / max(1, counted[c] or here[c]) for c in here}
-        found = assign(groups, shares, weights)
+        goals = None
+        if "goal" in rows:
+            of_label = dict(zip(rows["label"], rows["goal"], strict=True))
+            goals = {s: {c: of_label[c][i] for c in here} for i, s in enumerate(names)}
+        found = assign(groups, shares, weights, goals)
         return pd.DataFrame({"component": [*found], "split": [*found.values()]})
 
-    assigned = stage(weighed.groupBy("task").applyInPandas(solve, f"component {kind}, split string"), "assigned")
+    out = f"component {kind}, split string"
+    if tasks == 1:
+        assigned = stage(weighed.groupBy("task").applyInPandas(solve, out), "assigned")
+    else:
+        large = counts.groupBy("component").agg(F.sum("n").alias("all")).where(F.col("all") >= max(2, members.count() / LARGE)).select("component", F.lit(True).alias("large"))
+        whole = counts.groupBy("label").agg(F.sum("n").alias("whole"))
+        cut = stage(weighed.join(large, "component", "left").join(whole, "label").withColumn("size", F.when(F.col("size") > 0, F.col("size")).otherwise(F.col("whole"))), "weighed")
+        first = cut.where("large").withColumn("goal", F.array(*[F.col("whole") * F.lit(float(shares[s])) for s in names]))
+        placed = stage(first.groupBy("large").applyInPandas(solve, out), "placed")
+        rest = cut.where("large is null").drop("large")
+        assigned = stage(placed.unionByName(rest.join(_goals(rest, first.join(placed, "component"), shares), ["task", "label"]).groupBy("task").applyInPandas(solve, out)), "assigned")
+        drop(cut, placed)
     hot = hot_keys(members, "component", members.count())
     return lookup(members, assigned, "component", hot).select("record", "label", "component", "split")
 

@@ -62,3 +62,18 @@ def test_edges_of_the_domain(spark):
     assert {x["split"] for x in one} == {"only"}
     with pytest.raises(ValueError):
         split_records(r, e, {"zero": 0.0}, sizes(spark))
+
+
+def test_tasks_make_up_for_a_giant_and_spread_minorities(spark):
+    # a third of the records is one component; every other one is of four, with a record of the rare class in each fortieth
+    records = [(i, "a") for i in range(4000)] + [(4000 + i, "rare" if i % 160 == 0 else f"c{i // 4 % 5}") for i in range(8000)]
+    edges = [(i, -1) for i in range(4000)] + [(4000 + i, i // 4) for i in range(8000)]
+    r, e = spark.createDataFrame(records, "record bigint, label string"), spark.createDataFrame(edges, "record bigint, entity bigint")
+    got = split_records(r, e, {"train": 0.4, "validation": 0.2, "test": 0.4}, sizes(spark).limit(0), 20).collect()
+    assert len(got) == 12000
+    for c in ("c0", "c1", "c2", "c3", "c4", "rare"):
+        rows = [x["split"] for x in got if x["label"] == c]
+        assert abs(rows.count("train") / len(rows) - 0.4) < 0.1 and abs(rows.count("validation") / len(rows) - 0.2) < 0.1
+    r = spark.createDataFrame([(i, "a") for i in range(12000)], "record bigint, label string")
+    rows = [x["split"] for x in split_records(r, e, SHARES, sizes(spark).limit(0), 20).collect()]
+    assert all(abs(rows.count(s) / 12000 - share) < 0.005 for s, share in SHARES.items())
