@@ -6,11 +6,21 @@ one. What comes out is kept as a pattern if the corpus holds it, but rarely
 compared with its original, over all documents, or if no language writes it so
 (`telling`): then it may be as frequent as it likes. UTF-8 read with a
 single-byte encoding is also known by its byte sequences alone, without any
-counts (`structural_spans`). One multi-pattern automaton
+counts (`_run_spans`). One multi-pattern automaton
 then finds all patterns in a text in a single pass. Only matched spans are
 replaced; text around them stays as it is, so correct text with unusual
 characters is left alone.
 
+The automaton also holds a fixed table that doesn't depend on the corpus: the
+first two characters of every UTF-8 sequence as each encoding shows them, and
+the characters that only a failed decoding leaves. A match of the former
+makes the run it lies in be read as UTF-8; a match of the latter says that
+something was lost.
+
+Whether a run of characters beyond ASCII is garbled depends on the run and
+two characters to either side, so short runs, which come again and again, are
+judged once per worker.
+
 Two kinds of patterns differ in how much they prove. UTF-8 read with a
 single-byte encoding turns one character into a lead and trail characters that
 hardly ever meet otherwise: one match is enough. A single-byte encoding read
@@ -24,16 +34,17 @@ import html
 import re
 import unicodedata
 from bisect import bisect_right
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Collection, Iterable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stage
+from ..storage import drop, stage
 
 # Python's names of the encodings whose mix-ups are searched.
 WESTERN = ("cp1252", "latin-1", "cp1250", "cp1254", "cp437", "cp850", "cp852", "mac-roman", "iso8859-2")
@@ -46,6 +57,8 @@ LEAST = 3
 CERTAIN = 12
 #: A pattern may occur in at most this share of its original's documents: structural, structural of letters only, other.
 RARE_BYTES, RARE_LETTERS, RARE_PAIR = 0.5, 0.05, 0.03
+#: Runs of so many characters at most are remembered, so many of them in each worker.
+SHORT_RUN, JUDGED = 64, 200_000
 #: More patterns than this mean that the rules don't fit the corpus.
 MAX_PATTERNS = 1_000_000
 
@@ -98,16 +111,6 @@ def text_grams(text: str) -> np.ndarray:
     return np.unique(np.concatenate([code[wide], two[near2], three[near2[:-1] | wide[2:]]]))
 
 
-def _encode(text: str, encoding: str) -> bytes | None:
-    """The inverse of ``_decode``."""
-    try:
-        if encoding.startswith("cp125") and _CONTROL.search(text):
-            return b"".join(c.encode(encoding) if ord(c) > 0x9F or ord(c) < 0x80 else c.encode("latin-1") for c in text)
-        return text.encode(encoding)
-    except UnicodeEncodeError:
-        return None
-
-
 def _decode(data: bytes, encoding: str) -> str | None:
     """As browsers do: bytes that a Windows code page leaves open become control characters."""
     try:
@@ -118,16 +121,31 @@ def _decode(data: bytes, encoding: str) -> str | None:
         return None
 
 
+@lru_cache(maxsize=None)
+def _shown(read: str) -> tuple[str | None, ...]:
+    """What each of the 256 bytes is shown as by an encoding of one byte a character."""
+    return tuple(_decode(bytes([b]), read) for b in range(256))
+
+
 def garbled_forms(gram: str) -> Iterator[tuple[str, str, bool]]:
     """What a sequence can turn into: (garbled, ``written>read``, whether it is structural)."""
     for written in ("utf-8", *WESTERN, *CYRILLIC, "gbk"):
+        if len(gram) == 1 and written not in ("utf-8", "gbk"):
+            continue
         try:
             data = gram.encode(written)
         except UnicodeEncodeError:
             continue
         for read in (*WESTERN, *CYRILLIC, *(ASIAN if written == "utf-8" else ())):
-            seen = _decode(data, read)
-            if written == read or seen is None or seen == gram or not 2 <= len(seen) <= 4 or "\0" in seen:
+            if written == read or (len(data) > 4 and read not in ASIAN):
+                continue
+            if read in ASIAN:
+                seen = _decode(data, read)
+            else:
+                shown = _shown(read)
+                parts = [shown[b] for b in data]
+                seen = None if None in parts else "".join(parts)
+            if seen is None or seen == gram or not 2 <= len(seen) <= 4 or "\0" in seen:
                 continue
             if written == "utf-8" and len(gram) == 1 and read not in ASIAN:
                 yield seen, f"{written}>{read}", True
@@ -197,40 +215,90 @@ def gram_counts(docs: DataFrame, text: str) -> DataFrame:
 def find_patterns(docs: DataFrame, text: str) -> list[tuple[str, str, str, bool]]:
     """The corpus's patterns: (garbled, original, pair, structural), from counts over all documents."""
     counts = stage(gram_counts(docs, text), "grams")
-    common = counts.where(F.col("n") >= LEAST)
+    try:
+        return sorted(_patterns_of(counts))
+    finally:
+        drop(counts)
+
+
+def _patterns_of(counts: DataFrame) -> Iterator[tuple[str, str, str, bool]]:
+    # the characters of the corpus; there are at most as many as Unicode has
+    there = frozenset(chr(r[0]) for r in counts.where(F.col("gram") < 1 << _BITS).select("gram").collect())
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for code, n in zip(b["gram"], b["n"], strict=True):
-                gram = unpack(code)
+                gram, made = unpack(code), defaultdict(list)
                 for seen, pair, structural in garbled_forms(gram):
-                    proves = not structural and not pair.startswith(("utf-8", "gbk")) and telling(seen, gram)
-                    rows.append((-1 if len(seen) == 4 else pack(seen), seen, gram, pair, structural, proves, n))
-            yield pd.DataFrame(rows, columns=["gram", "seen", "original", "pair", "structural", "proves", "n"])
+                    made[seen, structural].append(pair)
+                for (seen, structural), pairs in made.items():
+                    if all(c in there or c < "\x80" for c in seen):
+                        rows.append((-1 if len(seen) == 4 else pack(seen), seen, gram, "|".join(sorted(set(pairs))), structural, n))
+            yield pd.DataFrame(rows, columns=["gram", "seen", "original", "pairs", "structural", "n"])
+
+    def prove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[telling(seen, original) for seen, original in zip(b["seen"], b["original"], strict=True)]]
 
-    made = common.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(forms, "gram bigint, seen string, original string, pair string, structural boolean, proves boolean, n bigint")
+    spark = counts.sparkSession
+    common = counts.where(F.col("n") >= LEAST).repartition(spark.sparkContext.defaultParallelism)
+    made = common.mapInPandas(forms, "gram bigint, seen string, original string, pairs string, structural boolean, n bigint")
     met = made.join(counts.select("gram", F.col("n").alias("m")), "gram", "left").where((F.col("m") > 0) | (F.col("gram") == -1))
+    each = met.select("seen", "original", "structural", "n", F.coalesce("m", F.lit(0)).alias("m"), F.explode(F.split("pairs", r"\|")).alias("pair"))
     limit = (
         F.when(~F.col("structural"), F.greatest(F.lit(1.0), RARE_PAIR * F.col("n")))
         .when(F.substring_index("pair", ">", -1).isin(*CYRILLIC), RARE_PAIR * F.col("n"))
         .otherwise(RARE_BYTES * F.col("n"))
     )
-    rare = met.where(F.col("proves") | (F.coalesce("m", F.lit(0)) <= limit))
-    best = rare.groupBy("seen", "pair").agg(F.max(F.struct("n", "original", "structural", "proves", F.coalesce("m", F.lit(0)).alias("m"))).alias("b"))
+    counted = stage(each.withColumn("proves", F.col("m") > limit), "forms")
+    rare = counted.where(~F.col("proves"))
+    frequent = counted.where(F.col("proves") & ~F.col("structural") & ~F.col("pair").rlike("^(utf-8|gbk)>")).mapInPandas(prove, counted.schema)
+    best = rare.unionByName(frequent).groupBy("seen", "pair").agg(F.max(F.struct("n", "original", "structural", "proves", "m")).alias("b"))
     rows = best.select("seen", "pair", "b.*").limit(MAX_PATTERNS + 1).collect()
+    drop(counted)
     if len(rows) > MAX_PATTERNS:
         raise ValueError("too many garbled patterns")
-    kept = []
     for r in rows:
-        counted = _keeps(r["seen"], r["pair"], r["structural"], r["n"], r["m"])
-        if counted or r["proves"]:
-            kept.append((r["seen"], r["original"], r["pair"] if counted else TOLD + r["pair"], r["structural"]))
-    return sorted(kept)
+        known = _keeps(r["seen"], r["pair"], r["structural"], r["n"], r["m"])
+        if known or r["proves"]:
+            yield r["seen"], r["original"], r["pair"] if known else TOLD + r["pair"], r["structural"]
+
+
+class Judged(NamedTuple):
+    """What is known of a run of characters beyond ASCII; places are counted from its start."""
+
+    #: by the counts: (start, end, original, pair)
+    whole: tuple[tuple[int, int, str, str], ...]
+    #: may be UTF-8 by its form: (start, end, original, read, whether sure)
+    form: tuple[tuple[int, int, str, str, bool], ...]
+    #: ``written>read`` and the matches that are kept for how they are written
+    told: tuple[tuple[str, tuple[tuple[int, int, str], ...]], ...]
+    lost: bool
+
+
+#: A fixed pattern that only a failed decoding leaves.
+LOST = ()
+
+
+@lru_cache(maxsize=1)
+def fixed_patterns() -> dict[str, tuple[str, ...]]:
+    """The first two characters of all UTF-8 sequences with the encodings that show them so, and the characters of failed decodings (``LOST``).
+
+    About 30,000, whatever the corpus.
+    """
+    out: dict[str, tuple[str, ...]] = defaultdict(tuple)
+    for read in (*WESTERN, *CYRILLIC):
+        shown = {b: c for c, b in _byte_of(read).items()}
+        for lead in range(0xC2, 0xF5):
+            for trail in range(0x80, 0xC0):
+                if lead in shown and trail in shown:
+                    out[shown[lead] + shown[trail]] += (read,)
+    return {**out, **{chr(c): LOST for c in (*range(0x80, 0x85), *range(0x86, 0xA0), 0xFFFD)}}
 
 
 class Matcher:
-    """All patterns in one automaton."""
+    """All patterns in one automaton: those of the corpus, and the fixed ones of ``fixed_patterns``."""
 
     def __init__(self, patterns: list[tuple[str, str, str, bool]]):
         import ahocorasick
@@ -238,74 +306,146 @@ class Matcher:
         by: dict[str, list[tuple[str, str, bool]]] = defaultdict(list)
         for seen, original, pair, structural in patterns:
             by[seen].append((original, pair, structural))
-        self.automaton = ahocorasick.Automaton() if by else None
-        for seen, means in by.items():
-            self.automaton.add_word(seen, (seen, means))
-        if by:
-            self.automaton.make_automaton()
-
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """Spans to replace, (start, end, original), left to right and not overlapping; empty if the text is clean."""
-        if text.isascii():
-            return []
-        plain = _codes(text).tobytes().decode("utf-32-le", "surrogatepass")
-        whole, windows, settled, stretches = [], defaultdict(list), {}, {}
-        for end, (seen, means) in self.automaton.iter(plain) if self.automaton else ():
-            start = end + 1 - len(seen)
+        fixed = fixed_patterns()
+        self.automaton = ahocorasick.Automaton()
+        for seen in {*by, *fixed}:
+            self.automaton.add_word(seen, (len(seen), tuple(by.get(seen, ())), fixed.get(seen)))
+        self.automaton.make_automaton()
+        self.judged = lru_cache(maxsize=JUDGED)(self._judge)
+
+    def _judge(self, before: str, run: str, after: str) -> Judged | None:
+        """What the matches in and around a run say, places counted from the run's start; None if there are none."""
+        found = [*self.automaton.iter(before + run + after)]
+        if not found:
+            return None
+        shift, size = len(before), len(run)
+        whole, windows, settled, stretches, reads, lost = [], defaultdict(list), {}, {}, set(), False
+        for end, (length, means, fixed) in found:
+            start, stop = end + 1 - length - shift, end + 1 - shift
+            inside = start >= 0 and stop <= size
+            if inside and fixed is not None:
+                lost |= fixed == LOST
+                reads.update(fixed)
             for original, pair, structural in means:
-                if structural:
-                    # what lies in a run that was replaced as a whole needs no look of its own
-                    if start >= settled.get(pair, 0):
-                        read = pair.split(">")[1]
-                        if read not in stretches:
-                            stretches[read] = utf8_stretches(text, read)
-                        whole.append(_widest(text, start, end + 1, original, stretches[read]))
-                        settled[pair] = whole[-1][1]
-                else:
-                    windows[pair].append((start, end + 1, original))
-        agreed, told = [], []
-        for pair, found in windows.items():
+                if not structural:
+                    windows[pair].append((start, stop, original))
+                # what lies in a stretch that was replaced as a whole needs no look of its own
+                elif inside and start >= settled.get(pair, 0):
+                    read = pair.split(">")[1]
+                    if read not in stretches:
+                        stretches[read] = utf8_stretches(run, read)
+                    whole.append((*_widest(run, start, stop, original, stretches[read]), pair))
+                    settled[pair] = whole[-1][1]
+        told = []
+        for pair, some in windows.items():
             if not pair.startswith(TOLD):
-                agreed += _agreed(plain, found)
+                whole += [(*w, pair) for w in _agreed(run, some)]
                 continue
-            written, read = pair.removeprefix(TOLD).split(">")
-            sure = _agreed(plain, found + windows.get(f"{written}>{read}", []))
+            bare = pair.removeprefix(TOLD)
+            sure = _agreed(run, some + windows.get(bare, []))
             if sure:
-                told.append(_lines_undone(text, sure, written, read) + sure)
-        # what the corpus shows goes before what the form alone says
+                told.append((bare, tuple(sure)))
+        form = _run_spans(before[-1:], run, after[:1], reads) if reads and size > 1 else ()
+        return Judged(tuple(whole), form, tuple(told), lost) if whole or form or told or lost else None
+
+    def look(self, text: str) -> tuple[list[tuple[int, int, str]], bool]:
+        """Spans to replace, (start, end, original), left to right and not overlapping, and whether a character of a failed decoding is there."""
+        if text.isascii():
+            return [], False
+        plain = _codes(text).tobytes().decode("utf-32-le", "surrogatepass")
+        whole, form, told, sure, lost = set(), [], defaultdict(set), set(), False
+        for found in _RUN.finditer(plain):
+            at, end = found.span()
+            judge = self.judged if end - at <= SHORT_RUN else self._judge
+            says = judge(plain[max(0, at - 2) : at], found.group(), plain[end : end + 2])
+            if says is None:
+                continue
+            lost |= says.lost
+            whole.update((at + a, at + b, original, pair) for a, b, original, pair in says.whole)
+            for a, b, original, read, certain in says.form:
+                form.append((at + a, at + b, original, read))
+                if certain:
+                    sure.add(read)
+            for pair, spans in says.told:
+                told[pair].update((at + a, at + b, original) for a, b, original in spans)
+        if not (whole or form or told):
+            return [], lost
+        # what the corpus shows goes before what the form alone says, and the pair that explains more of the text before others
+        weight = Counter(pair for *_, pair in whole)
+        shown = [x[:3] for x in sorted(whole, key=lambda s: (s[0], s[0] - s[1], -weight[s[3]], s[3]))]
+        by_form = sorted((x[:3] for x in form if x[3] in sure), key=lambda s: (s[0], s[0] - s[1]))
         out: list[tuple[int, int, str]] = []
-        taken = np.zeros(len(text), bool)
-        for spans in (whole + agreed, structural_spans(text), *sorted(told, key=len, reverse=True)):
-            for start, end, original in sorted(spans, key=lambda s: (s[0], s[0] - s[1])):
-                if not taken[start:end].any():
+        taken = bytearray(len(text))
+
+        def take(spans: Iterable[tuple[int, int, str]]) -> None:
+            for start, end, original in spans:
+                if not any(taken[start:end]):
                     out.append((start, end, original))
-                    taken[start:end] = True
-        return sorted(out)
-
-    def restore(self, text: str, passes: int = 4) -> tuple[str, bool]:
-        """The text with matched spans replaced, again for text garbled more than once, and whether any span matched."""
-        found = False
-        for _ in range(passes):
-            spans = self.spans(text)
+                    taken[start:end] = b"\1" * (end - start)
+
+        take(shown)
+        take(by_form)
+        # a pair whose matches are all explained already says nothing of the rest of their lines
+        rest = {pair: new for pair, spans in told.items() if (new := [s for s in spans if not any(taken[s[0] : s[1]])])}
+        undone = [_lines_undone(text, spans, *pair.split(">")) + sorted(spans, key=lambda s: (s[0], s[0] - s[1])) for pair, spans in sorted(rest.items())]
+        for spans in sorted(undone, key=len, reverse=True):
+            take(spans)
+        return sorted(out), lost
+
+    def opened(self, text: str) -> str:
+        """The text with those character references opened that stand for garbled characters.
+
+        Others stay references, unless nothing but references is garbled:
+        then the text was escaped as a whole, and all are opened.
+        """
+        if "&" not in text:
+            return text
+        pieces, places, last, at = [], [], 0, 0
+        for found in _ENTITY.finditer(text):
+            means = html.unescape(found.group())
+            pieces += [text[last : found.start()], means]
+            at += found.start() - last
+            places.append((at, at + len(means), *found.span(), means))
+            at, last = at + len(means), found.end()
+        if not places:
+            return text
+        spans, _ = self.look("".join([*pieces, text[last:]]))
+        starts = [s for s, _, _ in spans]
+        out, last = [], 0
+        for a, b, start, end, means in places:
+            i = bisect_right(starts, b - 1) - 1
+            if means != text[start:end] and i >= 0 and spans[i][1] > a:
+                out += [text[last:start], means]
+                last = end
+        if last and not self.look(text)[0]:
+            return html.unescape(text)
+        return "".join([*out, text[last:]])
+
+    def examine(self, text: str) -> tuple[bool, str, bool]:
+        """(garbled, restored text, whether nothing was lost).
+
+        Matched spans are replaced again and again, for text garbled more
+        than once, until nothing matches; text that would come back to what
+        it was before isn't restored completely.
+        """
+        now = self.opened(text)
+        been = {text, now}
+        found, turns = now != text, False
+        while True:
+            spans, lost = self.look(now)
             if not spans:
                 break
             found, out, last = True, [], 0
             for start, end, original in spans:
-                out += [text[last:start], _with_digits(text[start:end], original)]
+                out += [now[last:start], _with_digits(now[start:end], original)]
                 last = end
-            text = "".join([*out, text[last:]])
-        return text, found
-
-    def examine(self, text: str) -> tuple[bool, str, bool]:
-        """(garbled, restored text, whether nothing was lost)."""
-        restored, found = self.restore(text)
-        if "&" in text and not found and _ENTITY.search(text):
-            opened = html.unescape(text)
-            again, by_entity = self.restore(opened)
-            if by_entity:
-                restored, found = again, True
-        lost = "�" in restored or bool(_CONTROL.search(restored))
-        return found or lost, restored, not lost and not (found and self.spans(restored))
+            then = "".join([*out, now[last:]])
+            if then in been:
+                turns = True
+                break
+            been.add(then)
+            now = then
+        return found or lost, now, not lost and not turns
 
 
 def _widest(text: str, start: int, end: int, original: str, stretches: list[tuple[int, int, str]]) -> tuple[int, int, str]:
@@ -336,21 +476,37 @@ def utf8_stretches(text: str, read: str) -> list[tuple[int, int, str]]:
 
 def _lines_undone(text: str, sure: list[tuple[int, int, str]], written: str, read: str) -> list[tuple[int, int, str]]:
     """All that isn't ASCII in those lines of ``sure`` that are plain text as a whole under the other reading."""
-    out, last = [], -1
+    out, last, means = [], -1, _means(written, read)
     for start, _, _ in sorted(sure):
         if start < last:
             continue
         first = text.rfind("\n", 0, start) + 1
         last = text.find("\n", start)
         last = len(text) if last < 0 else last
-        data = _encode(text[first:last], read)
-        seen = None if data is None else _decode(data, written)
-        if seen is None or len(seen) != last - first or strained(seen) or any(ord(c) > 127 and not (c.isalpha() or c in _BESIDE or c in "¿¡") for c in seen):
+        line = text[first:last]
+        seen = line.translate(means)
+        if len(seen) != len(line) or _UNSAID in seen or strained(seen) or any(ord(c) > 127 and not (c.isalpha() or c in _BESIDE or c in "¿¡") for c in seen):
             continue
         out += [(*run.span(), seen[run.start() - first : run.end() - first]) for run in _RUN.finditer(text, first, last)]
     return out
 
 
+#: Stands for a character that the other reading can't have shown.
+_UNSAID = "\ufdd0"
+
+
+class _Means(dict):
+    def __missing__(self, code: int) -> str:
+        return _UNSAID
+
+
+@lru_cache(maxsize=None)
+def _means(written: str, read: str) -> _Means:
+    """What a character shown by ``read`` means in ``written``, both of one byte a character; by code points."""
+    back = {b: c for c, b in _byte_of(written).items()}
+    return _Means({c: c for c in range(128)} | {ord(c): back.get(b, _UNSAID) for c, b in _byte_of(read).items()})
+
+
 @lru_cache(maxsize=None)
 def _byte_of(read: str) -> dict[str, int]:
     """The byte beyond ASCII that each character was, as ``read`` shows it."""
@@ -403,11 +559,12 @@ def _improbable(before: str, seq: str, after: str) -> bool:
     return not (drawn[1] and (drawn[0] or all(drawn[1:])))
 
 
-@lru_cache(maxsize=100_000)
-def _run_spans(before: str, run: str, after: str) -> tuple[tuple[int, int, str, str, bool], ...]:
+def _run_spans(before: str, run: str, after: str, reads: Collection[str]) -> tuple[tuple[int, int, str, str, bool], ...]:
     """(start, end, original, read, whether sure) of what may be UTF-8 in a run; unsure ones need a sure one in the document."""
     best, reach = (), (False, 0)
     for read in (*WESTERN, *CYRILLIC):
+        if read not in reads:
+            continue
         pieces = utf8_pieces(run, read)
         if not pieces:
             continue
@@ -425,30 +582,18 @@ def _run_spans(before: str, run: str, after: str) -> tuple[tuple[int, int, str,
     return best
 
 
-def _agreed(plain: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Matches of one encoding pair with a character on which three of them agree, two of these of three characters."""
-    at, long = defaultdict(int), defaultdict(int)
+def _agreed(run: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Matches of one encoding pair with a character of the run on which three of them agree, two of these of three characters."""
+    size = len(run)
+    if len(found) < 3:
+        return []
+    at, long = [0] * size, [0] * size
     for start, end, _ in found:
-        for i in range(start, end):
-            if ord(plain[i]) > 127:
-                at[i] += 1
-                long[i] += end - start == 3
-    return [w for w in found if any(at[i] >= 3 and long[i] >= 2 for i in range(w[0], w[1]) if ord(plain[i]) > 127)]
-
-
-def structural_spans(text: str) -> list[tuple[int, int, str]]:
-    """What is UTF-8 read with a single-byte encoding by the form of its byte sequences alone, without any counts."""
-    found, sure = [], set()
-    for run in _RUN.finditer(text):
-        at, seen = run.start(), run.group()
-        if len(seen) < 2:
-            continue
-        spans = (_run_spans if len(seen) <= 64 else _run_spans.__wrapped__)(text[at - 1] if at else "", seen, text[run.end() : run.end() + 1])
-        for a, b, original, read, certain in spans:
-            found.append((at + a, at + b, original, read))
-            if certain:
-                sure.add(read)
-    return [(a, b, original) for a, b, original, read in found if read in sure]
+        for i in range(max(start, 0), min(end, size)):
+            at[i] += 1
+            long[i] += end - start == 3
+    agrees = [a >= 3 and n >= 2 for a, n in zip(at, long, strict=True)]
+    return [w for w in found if any(agrees[max(w[0], 0) : w[1]])] if any(agrees) else []
 
 
 def _with_digits(seen: str, original: str) -> str:

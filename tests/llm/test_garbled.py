@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sievework.llm.garbled import Matcher, _decode, examine_texts, find_patterns, pack, structural_spans, text_grams, unpack
+from sievework.llm.garbled import Matcher, _decode, examine_texts, find_patterns, pack, text_grams, unpack
 
 LINES = [
     "L’image 12 a été écartée car la feuille était coupée.", "Größe der Flecken: 43 mm, Ränder bräunlich.", "Night temperature fell to 12 °C – no new rust since then.",
@@ -82,7 +82,34 @@ def test_a_third_garbled(spark, written, read, line):
 
 def test_clean_text_of_the_same_form():
     clean = ["« bien enlevé\u00a0», dit-il", "Сёмга, всё её", "«École» “Élan”", "3 Å², MAÇÃ…", "СССР» УМ", "├── été\n│", "Große “Maß” und „Maß“", "đường, ượt", "5 µm, kΩ, ΔT, ½ m", "В\u00a0«поле»"]
-    assert [x for x in clean if structural_spans(x)] == []
+    assert [x for x in clean if Matcher([]).examine(x)[0]] == []
+
+
+@pytest.mark.parametrize("others", [1_000, 60_000])
+def test_recall_does_not_depend_on_the_size_of_the_corpus(spark, others):
+    hungarian = [(i, f"A levelek szélén {i} sárga foltok, később őszi hőség és szűkülő erek.") for i in range(20)]
+    seen = _decode(hungarian[0][1].encode("cp1250", "ignore"), "cp1252")
+    ascii_texts = spark.range(100, 100 + others).selectExpr("id", "concat('plain text ', id) t")
+    df = ascii_texts.unionByName(spark.createDataFrame([*hungarian, (50, seen), (51, _decode(hungarian[1][1].encode(), "cp1252"))], "id bigint, t string"))
+    got = {r["id"]: r["restored"] for r in examine_texts(df, "id", "t").collect()}
+    assert got == {50: hungarian[0][1], 51: hungarian[1][1]}
+
+
+def test_references_in_mixed_text():
+    text = "caf&Atilde;&copy; &amp; thé glacÃ© &eacute; &#233;"
+    assert Matcher([]).examine(text) == (True, "café &amp; thé glacé &eacute; &#233;", True)
+
+
+def test_many_passes():
+    text = LINES[0]
+    for _ in range(7):
+        text = _decode(text.encode(), "cp1252")
+    assert Matcher([]).examine(text) == (True, LINES[0], True)
+
+
+def test_the_automaton_finds_what_was_lost():
+    assert Matcher([]).examine("lost � here") == (True, "lost � here", False)
+    assert Matcher([]).examine("a \x93quote\x94")[0] and not Matcher([]).examine("next\x85line")[0]
 
 
 def test_rare_originals_in_a_large_corpus(spark):
