@@ -82,3 +82,18 @@ def ranked(
     running = F.sum("_w").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = out.withColumn(before, F.col("_s0") + running - F.col("_w"))
     return out.drop("_piece", "_w", "_n0", "_s0")
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence, spread: str, salts: int = 32) -> DataFrame:
+    """Inner join in which both sides may have many rows of a hot key.
+
+    The left rows of the ``hot`` keys are spread over ``salts`` tasks by the
+    column ``spread``, each with a copy of the right rows of its key; other
+    keys aren't copied. ``spread`` should tell the left rows of a key apart.
+    """
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
+    cast = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)))))
+    return cast.join(copied, [key, "_salt"]).drop("_salt")

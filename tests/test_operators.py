@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions.text import hamming
 from sievework.operators import audit, clean, duplicates, quality, stats, taxonomy
 from sievework.operators.components import connected
-from sievework.operators.skew import bits_for, hot_keys, lookup, ranked
+from sievework.operators.skew import bits_for, hot_keys, lookup, ranked, salted_join
 
 
 def rows_of(df):
@@ -46,6 +46,13 @@ def test_hot_lookup(spark):
     assert rows_of(lookup(left, right, "k", hot)) == rows_of(left.join(right, "k"))
 
 
+def test_salted_join(spark):
+    left = spark.createDataFrame([("x", i) for i in range(40)] + [("y", 1), (None, 2)], "k string, i int")
+    right = spark.createDataFrame([("x", v) for v in range(5)] + [("y", 9), (None, 3)], "k string, v int")
+    want = rows_of(left.join(right, "k"))
+    assert len(want) == 201 and rows_of(salted_join(left, right, "k", ["x"], "i", 7).select("k", "i", "v")) == want == rows_of(salted_join(left, right, "k", [], "i"))
+
+
 def test_counters_and_top(spark):
     df = spark.createDataFrame([("a", "x"), ("a", None), (None, "x"), ("b", "y")], "p string, q string")
     got = {(r["counter"], r["key"]): r["n"] for r in stats.counters(df, {"p": ["p"], "pq": ["p", "q"]}).collect()}
