@@ -37,6 +37,7 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Collection, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -268,8 +269,8 @@ def _patterns_of(counts: DataFrame) -> Iterator[tuple[str, str, str, bool]]:
 class Judged(NamedTuple):
     """What is known of a run of characters beyond ASCII; places are counted from its start."""
 
-    #: by the counts: (start, end, original, pair)
-    whole: tuple[tuple[int, int, str, str], ...]
+    #: by the counts: (start, end, original) and the pairs that say so
+    whole: tuple[tuple[tuple[int, int, str], tuple[str, ...]], ...]
     #: may be UTF-8 by its form: (start, end, original, read, whether sure)
     form: tuple[tuple[int, int, str, str, bool], ...]
     #: ``written>read`` and the matches that are kept for how they are written
@@ -319,7 +320,7 @@ class Matcher:
         if not found:
             return None
         shift, size = len(before), len(run)
-        whole, windows, settled, stretches, reads, lost = [], defaultdict(list), {}, {}, set(), False
+        whole, windows, settled, stretches, reads, lost = defaultdict(list), defaultdict(list), {}, {}, set(), False
         for end, (length, means, fixed) in found:
             start, stop = end + 1 - length - shift, end + 1 - shift
             inside = start >= 0 and stop <= size
@@ -334,26 +335,28 @@ class Matcher:
                     read = pair.split(">")[1]
                     if read not in stretches:
                         stretches[read] = utf8_stretches(run, read)
-                    whole.append((*_widest(run, start, stop, original, stretches[read]), pair))
-                    settled[pair] = whole[-1][1]
+                    widest = _widest(run, start, stop, original, stretches[read])
+                    whole[widest].append(pair)
+                    settled[pair] = widest[1]
         told = []
         for pair, some in windows.items():
             if not pair.startswith(TOLD):
-                whole += [(*w, pair) for w in _agreed(run, some)]
+                for w in _agreed(run, some):
+                    whole[w].append(pair)
                 continue
             bare = pair.removeprefix(TOLD)
             sure = _agreed(run, some + windows.get(bare, []))
             if sure:
                 told.append((bare, tuple(sure)))
         form = _run_spans(before[-1:], run, after[:1], reads) if reads and size > 1 else ()
-        return Judged(tuple(whole), form, tuple(told), lost) if whole or form or told or lost else None
+        return Judged(tuple((w, tuple(pairs)) for w, pairs in whole.items()), form, tuple(told), lost) if whole or form or told or lost else None
 
     def look(self, text: str) -> tuple[list[tuple[int, int, str]], bool]:
         """Spans to replace, (start, end, original), left to right and not overlapping, and whether a character of a failed decoding is there."""
         if text.isascii():
             return [], False
         plain = _codes(text).tobytes().decode("utf-32-le", "surrogatepass")
-        whole, form, told, sure, lost = set(), [], defaultdict(set), set(), False
+        whole, form, told, sure, lost = {}, [], defaultdict(set), set(), False
         for found in _RUN.finditer(plain):
             at, end = found.span()
             judge = self.judged if end - at <= SHORT_RUN else self._judge
@@ -361,7 +364,8 @@ class Matcher:
             if says is None:
                 continue
             lost |= says.lost
-            whole.update((at + a, at + b, original, pair) for a, b, original, pair in says.whole)
+            for (a, b, original), pairs in says.whole:
+                whole[at + a, at + b, original] = pairs
             for a, b, original, read, certain in says.form:
                 form.append((at + a, at + b, original, read))
                 if certain:
@@ -371,8 +375,8 @@ class Matcher:
         if not (whole or form or told):
             return [], lost
         # what the corpus shows goes before what the form alone says, and the pair that explains more of the text before others
-        weight = Counter(pair for *_, pair in whole)
-        shown = [x[:3] for x in sorted(whole, key=lambda s: (s[0], s[0] - s[1], -weight[s[3]], s[3]))]
+        weight = Counter(chain.from_iterable(whole.values()))
+        shown = sorted(whole, key=lambda s: (s[0], s[0] - s[1], -max(weight[p] for p in whole[s]), s[2]))
         by_form = sorted((x[:3] for x in form if x[3] in sure), key=lambda s: (s[0], s[0] - s[1]))
         out: list[tuple[int, int, str]] = []
         taken = bytearray(len(text))
