@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from ..operators.skew import bits_for, ranked
 from ..storage import stage
 
-#: A plan's runs are sent to all executors; this bounds them.
-MAX_RUNS = 2_000_000
+#: A plan of at most so many runs (48 bytes each) goes to all executors; a larger one is joined.
+SENT_RUNS = 500_000
+#: Ranks of one length that are joined together with their runs.
+RANKS = 1 << 16
 
 
 def plan_runs(histogram: Mapping[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -66,6 +68,35 @@ def plan_runs(histogram: Mapping[int, int], capacity: int) -> tuple[list[tuple[i
     return runs, made
 
 
+def slots_of(runs: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The container of each item (group, rank); ``runs`` (group, first rank, count, first container, items per container) are sorted."""
+    groups, start = np.unique(runs[:, 0], return_index=True)
+    end = np.append(start[1:], len(runs))
+    of = np.searchsorted(groups, group)
+    low, high = start[of], end[of]
+    # the last run that begins at or before the rank, for all items at once
+    while (open_ := high - low > 1).any():
+        middle = (low + high) // 2
+        right = runs[middle, 1] <= rank
+        low, high = np.where(open_ & right, middle, low), np.where(open_ & ~right, middle, high)
+    found = runs[low]
+    return found[:, 3] + (rank - found[:, 1]) // found[:, 4]
+
+
+def join_runs(ranked_parts: DataFrame, runs: DataFrame) -> DataFrame:
+    """``container_id`` by a join: every ``RANKS`` ranks of a group meet the runs that begin among them or last into them."""
+    piece = lambda c: F.floor(c / F.lit(RANKS)).cast("bigint")
+    last = F.col("first") + F.col("count") - 1
+    cut = runs.select("group", "first", "container", "each", F.explode(F.sequence(piece(F.col("first")), piece(last))).alias("_at"))
+    begins = cut.select("group", "_at", F.greatest("first", F.col("_at") * RANKS).alias("rank"), F.struct("first", "container", "each").alias("_run"))
+    both = ranked_parts.withColumn("_at", piece(F.col("rank"))).unionByName(begins, allowMissingColumns=True)
+    # of one rank a run's beginning comes first
+    order = Window.partitionBy("group", "_at").orderBy("rank", F.col("_run").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = F.last("_run", ignorenulls=True).over(order)
+    met = both.withColumn("_run", F.when(F.col("_run").isNull(), run)).where("kind is not null")
+    return met.withColumn("container_id", F.expr("_run.container + (rank - _run.first) div _run.each")).drop("_run", "_at")
+
+
 def pack(items: DataFrame, key: str, length: str, capacities: DataFrame) -> DataFrame:
     """One row per piece of an item in each kind of container.
 
@@ -93,27 +124,21 @@ def pack(items: DataFrame, key: str, length: str, capacities: DataFrame) -> Data
         histogram = {r["length"]: r["count"] for r in counted if r["kind"] == i}
         pieces += sum(histogram.values())
         runs += [(i, *r) for r in plan_runs(histogram, capacity)[0]]
-    if len(runs) > MAX_RUNS:
-        raise ValueError("the plan has too many runs; lower the capacity")
-    table = np.array(sorted(runs), np.int64).reshape(-1, 6)
     top = max(c for _, c in kinds) + 1
-    shared = spark.sparkContext.broadcast((table, top))
-
-    def slot(group: pd.Series, rank: pd.Series) -> pd.Series:
-        runs, top = shared.value
-        # the runs of a group lie together, ordered by first rank
-        codes = (runs[:, 0] * top + runs[:, 1]).astype(np.int64)
-        base = np.int64(1) << 40
-        at = np.searchsorted(codes * base + runs[:, 2], group.to_numpy() * base + rank.to_numpy(), "right") - 1
-        found = runs[at]
-        return pd.Series(found[:, 4] + (rank.to_numpy() - found[:, 2]) // found[:, 5])
-
-    slot_of = F.pandas_udf(slot, "bigint")
+    table = np.array(sorted(runs), np.int64).reshape(-1, 6)
+    table = np.column_stack([table[:, 0] * top + table[:, 1], table[:, 2:]])
     cut = F.explode(F.sequence(F.lit(0), (whole + F.when(rest > 0, 1).otherwise(0) - 1).cast("int")))
     parts = each.select("key", "n", "kind", "capacity", cut.alias("piece"))
     parts = parts.withColumn("length", F.when(F.col("piece") < whole, F.col("capacity")).otherwise(rest))
-    parts = parts.select("key", "kind", "capacity", "piece", "length", (F.col("kind") * F.lit(top) + F.col("length")).cast("bigint").alias("group"), F.xxhash64("key", "piece").alias("order"))
-    placed = ranked(parts, ["group"], "order", bits_for(pieces), ties=["key", "piece"]).withColumn("container_id", slot_of("group", "rank"))
+    parts = parts.select("key", "kind", "capacity", "piece", "length", (F.col("kind").cast("bigint") * F.lit(top) + F.col("length")).alias("group"), F.xxhash64("key", "piece").alias("order"))
+    placed = ranked(parts, ["group"], "order", bits_for(pieces), ties=["key", "piece"])
+    if len(table) <= SENT_RUNS:
+        shared = spark.sparkContext.broadcast(table)
+        slot_of = F.pandas_udf(lambda group, rank: pd.Series(slots_of(shared.value, group.to_numpy(), rank.to_numpy())), "bigint")
+        placed = placed.withColumn("container_id", slot_of("group", "rank"))
+    else:
+        frame = pd.DataFrame(table, columns=["group", "first", "count", "container", "each"])
+        placed = join_runs(placed, stage(spark.createDataFrame(frame, "group bigint, first bigint, count bigint, container bigint, each bigint"), "runs"))
     together = Window.partitionBy("kind", "container_id")
     names = F.element_at(F.array(*[F.lit(name) for name, _ in kinds]), F.col("kind") + 1)
     return placed.select(

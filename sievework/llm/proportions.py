@@ -5,20 +5,24 @@ rows are accepted one by one by a hash of their key, slightly more than
 needed. The surplus is then cut exactly, in hash order; a category that fell
 short of its plan by chance is read again without the bound. So a category's
 sample is always the planned number of rows with the smallest hashes, drawn
-in proportion to the sample and not to the table.
+in proportion to the sample and not to the table. Several samples of one table
+are drawn together: it is read once to count and once to draw.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import bits_for, ranked
+from ..operators.skew import HOT_ROWS, bits_for, lookup, ranked
+from ..storage import stage
 
 #: Bits of the uniform hash.
 HASH_BITS = 60
-#: At most so many categories may have a target.
-MAX_TARGETS = 100_000
+#: Plans of at most so many rows go to the rows; larger ones are joined.
+SENT_PLAN = 10_000
+#: A share within so much of its target is met.
+TOLERANCE = 0.01
 
 
 def uniform_hash(*columns: Column | str) -> Column:
@@ -27,62 +31,90 @@ def uniform_hash(*columns: Column | str) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
-def sample_to_targets(rows: DataFrame, key: str, category: str, targets: DataFrame, size: int | None = None, fraction: float = 0.2, seed: str = "") -> tuple[DataFrame, DataFrame]:
-    """The sampled ``rows`` and the plan.
+def _cell(by: str | None, category: str) -> Column:
+    """One text for the sample and the category; null if either is."""
+    text = lambda c: F.col(c).cast("string")
+    return F.concat(text(by), F.lit("\0"), text(category)) if by else text(category)
 
-    ``targets`` has ``category``, ``target_share`` and ``min_rows``, a
-    category once. The plan has one row per target: ``wanted`` is the share
-    of the ``size`` (default: ``fraction`` of the rows that have a target),
-    or ``min_rows`` if that is more; ``planned`` is what there is of it,
-    ``deficit`` the difference. Rows whose category is null or has no target
-    are never drawn; rows with the same key are separate rows. With no rows,
-    or no targets, the sample is empty and every deficit is full. ``rows``
-    keeps its columns; names starting with ``_sample`` are used inside.
+
+def plan_sample(counts: DataFrame, targets: DataFrame, by: str | None, size: int | None, fraction: float) -> DataFrame:
+    """Per target how many rows are ``wanted``, ``planned`` and missing (``deficit``), from the rows ``available`` per ``cell``.
+
+    ``wanted`` is the share of ``size``, or ``min_rows`` if that is more.
+    Without a size it is ``fraction`` of the rows that have a target, or what
+    it takes that no minimum which can be kept exceeds its category's share.
     """
-    counts = rows.where(F.col(category).isNotNull()).groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("available"))
-    asked = targets.select("category", "target_share", "min_rows").where(F.col("category").isNotNull())
-    plan = asked.join(counts, "category", "left").select("category", "target_share", "min_rows", F.coalesce("available", F.lit(0)).cast("bigint").alias("available"))
-    known = plan.limit(MAX_TARGETS + 1).collect()  # one row per target, whatever the table's size
-    if len(known) > MAX_TARGETS:
-        raise ValueError("too many targets")
-    if size is None:
-        size = int(fraction * sum(r["available"] for r in known) + 0.5)
-    wanted = {r["category"]: max(int((r["target_share"] or 0) * size + 0.5), r["min_rows"] or 0) for r in known}
-    spark = rows.sparkSession
-    planned = [
-        (r["category"], r["target_share"], r["min_rows"], r["available"], wanted[r["category"]], min(wanted[r["category"]], r["available"]), max(0, wanted[r["category"]] - r["available"]))
-        for r in known
-    ]
-    plan = spark.createDataFrame(planned, "category string, target_share double, min_rows int, available bigint, wanted bigint, planned bigint, deficit bigint")
+    named = [by] if by else []
+    asked = targets.where(F.col("category").isNotNull()).select(
+        *named, "category", "target_share", "min_rows", _cell(by, "category").alias("cell"), F.coalesce("target_share", F.lit(0.0)).alias("_share"), F.coalesce("min_rows", F.lit(0)).alias("_least")
+    )
+    every = Window.partitionBy(F.col(by) if by else F.lit(0))
+    known = asked.join(counts, "cell", "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("bigint"))
+    keeps = F.when((F.col("_share") > 0) & (F.col("available") >= F.col("_least")), F.ceil(F.col("_least") / F.col("_share")))
+    free = F.greatest(F.floor(F.lit(fraction) * F.sum("available").over(every) + 0.5), F.coalesce(F.max(keeps).over(every), F.lit(0)))
+    sized = known.withColumn("size", (free if size is None else F.lit(size)).cast("bigint"))
+    wanted = F.greatest(F.floor(F.col("_share") * F.col("size") + 0.5), F.col("_least")).cast("bigint")
+    planned = sized.withColumn("wanted", wanted).withColumn("planned", F.least("wanted", "available")).withColumn("deficit", F.col("wanted") - F.col("planned"))
+    return planned.select(*named, "category", "target_share", "min_rows", "available", "size", "wanted", "planned", "deficit", "cell")
+
 
+def sample_to_targets(
+    rows: DataFrame, key: str, category: str, targets: DataFrame, by: str | None = None, size: int | None = None, fraction: float = 0.2, seed: str = ""
+) -> tuple[DataFrame, DataFrame]:
+    """The sampled ``rows`` and the plan (see ``plan_sample``), one row per target.
+
+    ``targets`` has ``category``, ``target_share`` and ``min_rows``, a
+    category once. With ``by``, a column of both tables, each of its values
+    is a sample of its own. Rows whose category is null or has no target are
+    never drawn; rows with the same key are separate rows. With no rows, or
+    no targets, the sample is empty and every deficit is full. ``rows`` keeps
+    its columns; names starting with ``_sample`` are used inside.
+    """
+    counts = rows.select(_cell(by, category).alias("cell")).where("cell is not null").groupBy("cell").agg(F.count(F.lit(1)).alias("available"))
+    plan = stage(plan_sample(counts, targets, by, size, fraction), "plan")
     top = float(2**HASH_BITS)
     # four standard deviations above the plan, in units of the hash
-    bound = lambda n, a: int(top) if n >= a else min(int(top), int(top * (n + 4 * n**0.5 + 10) / a))
-    bounds = {p[0]: bound(p[5], p[3]) for p in planned if p[5] > 0}
-    hashed = rows.withColumn("_sample_hash", uniform_hash(F.lit(seed), key))
-
-    def accepted(limits: dict[str, int]) -> DataFrame:
-        listed = spark.createDataFrame([*limits.items()], f"_sample_category {dict(rows.dtypes)[category]}, _sample_bound bigint")
-        return hashed.join(F.broadcast(listed), hashed[category] == F.col("_sample_category")).where(F.col("_sample_hash") < F.col("_sample_bound"))
-
-    got = {r[0]: r[1] for r in accepted(bounds).groupBy("_sample_category").count().collect()}
-    need = {p[0]: p[5] for p in planned if p[5] > 0}
-    bounds = {c: b if got.get(c, 0) >= need[c] else int(top) for c, b in bounds.items()}
-    drawn = accepted(bounds).withColumn("_sample_order", F.shiftleft("_sample_hash", 64 - HASH_BITS))
-    limits = spark.createDataFrame([*need.items()], f"_sample_of {dict(rows.dtypes)[category]}, _sample_need bigint")
-    ordered = ranked(drawn, ["_sample_category"], "_sample_order", bits_for(sum(need.values())), ties=[key], rank="_sample_rank", before="_sample_before")
-    sample = ordered.join(F.broadcast(limits), ordered["_sample_category"] == F.col("_sample_of")).where(F.col("_sample_rank") <= F.col("_sample_need"))
-    return sample.select(*rows.columns), plan
-
-
-def shares_reached(sample: DataFrame, category: str, size: Column, plan: DataFrame) -> DataFrame:
-    """The plan with the sampled rows, their share, and their share of ``size`` (null or negative sizes count 0)."""
+    reach = F.least(F.lit(top), top * (F.col("planned") + 4 * F.sqrt("planned") + 10) / F.col("available"))
+    drawn_of = plan.where("planned > 0").select(F.col("cell").alias("_sample_cell"), F.col("planned").alias("_sample_need"), F.when(F.col("planned") < F.col("available"), reach).otherwise(F.lit(top)).cast("bigint").alias("_sample_bound"), "available")
+    numbers = drawn_of.agg(F.count(F.lit(1)), F.coalesce(F.sum("available"), F.lit(0)), F.coalesce(F.sum("_sample_need"), F.lit(0))).first()
+    hot = [r[0] for r in drawn_of.where(F.col("available") >= max(HOT_ROWS, 0.02 * numbers[1])).select("_sample_cell").collect()]  # 50 at most
+    hashed = rows.withColumn("_sample_cell", _cell(by, category)).withColumn("_sample_hash", uniform_hash(F.lit(seed), key))
+
+    def met(cells: DataFrame) -> DataFrame:
+        return hashed.join(F.broadcast(cells), "_sample_cell") if numbers[0] <= SENT_PLAN else lookup(hashed, cells, "_sample_cell", hot)
+
+    drawn = stage(met(drawn_of.drop("available")).where(F.col("_sample_hash") < F.col("_sample_bound")), "drawn")
+    got = drawn.groupBy("_sample_cell").agg(F.count(F.lit(1)).alias("_sample_got"))
+    short = drawn_of.drop("available").join(got, "_sample_cell", "left").where(F.coalesce("_sample_got", F.lit(0)) < F.col("_sample_need")).drop("_sample_got")
+    if short.limit(1).count():
+        drawn = drawn.unionByName(met(short).where(F.col("_sample_hash") >= F.col("_sample_bound")))
+    drawn = drawn.withColumn("_sample_order", F.shiftleft("_sample_hash", 64 - HASH_BITS))
+    ordered = ranked(drawn, ["_sample_cell"], "_sample_order", bits_for(numbers[2]), ties=[key], rank="_sample_rank", before="_sample_before")
+    return ordered.where(F.col("_sample_rank") <= F.col("_sample_need")).select(*rows.columns), plan.drop("cell")
+
+
+def shares_reached(sample: DataFrame, category: str, size: Column, plan: DataFrame, by: str | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """The plan with the sampled rows, their share, and their share of ``size`` (null or negative sizes count 0).
+
+    ``met``: the minimum is kept and the share is within ``tolerance`` of its
+    target. ``reason`` if not: ``supply`` (too few rows), ``minimum`` (the
+    minimum exceeds the share), ``rounding`` (to whole rows), or ``others``
+    (other categories have more or less than their share).
+    """
+    named = [by] if by else []
     amount = F.when(size > 0, size).otherwise(F.lit(0)).cast("bigint")
-    reached = sample.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("sampled"), F.sum(amount).alias("amount"))
-    full = plan.join(reached, "category", "left").withColumns({"sampled": F.coalesce("sampled", F.lit(0)), "amount": F.coalesce("amount", F.lit(0))})
-    whole = full.agg(F.sum("sampled").alias("_rows"), F.sum("amount").alias("_amount"))
-    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    return full.crossJoin(F.broadcast(whole)).select(
-        "category", "target_share", "min_rows", "available", "wanted", "sampled", "deficit",
-        ratio("sampled", "_rows").alias("share"), ratio("amount", "_amount").alias("amount_share"), (F.col("deficit") == 0).alias("met"),
-    )
+    reached = sample.groupBy(*named, F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("sampled"), F.sum(amount).alias("amount"))
+    full = plan.join(reached, [*named, "category"], "left").withColumns({"sampled": F.coalesce("sampled", F.lit(0)), "amount": F.coalesce("amount", F.lit(0))})
+    every = Window.partitionBy(F.col(by) if by else F.lit(0))
+    ratio = lambda c: F.when(F.sum(c).over(every) > 0, F.col(c) / F.sum(c).over(every)).otherwise(F.lit(0.0))
+    shared = full.withColumn("share", ratio("sampled")).withColumn("amount_share", ratio("amount"))
+    target = F.coalesce("target_share", F.lit(0.0))
+    met = (F.col("sampled") >= F.coalesce("min_rows", F.lit(0))) & (F.abs(F.col("share") - target) <= tolerance)
+    reason = (
+        F.when(met, None)
+        .when(F.col("deficit") > 0, "supply")
+        .when(F.col("wanted") > F.floor(target * F.col("size") + 0.5), "minimum")
+        .when((F.col("size") > 0) & (F.abs(F.col("wanted") / F.nullif(F.col("size"), F.lit(0)) - target) > tolerance), "rounding")
+        .otherwise("others")
+    )
+    return shared.select(*named, "category", "target_share", "min_rows", "available", "wanted", "sampled", "deficit", "share", "amount_share", met.alias("met"), reason.alias("reason"))

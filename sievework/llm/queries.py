@@ -62,25 +62,24 @@ def class_rows(spark: SparkSession, folder: str) -> DataFrame:
 SAMPLE_SETS = (("by_class", "class"), ("by_crop", "crop"), ("by_threshold", "meets_100_image_threshold"))
 
 
-def set_targets(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def set_targets(spark: SparkSession, folder: str) -> DataFrame:
     spelled = F.regexp_replace(F.lower(F.trim("category")), "[^a-z0-9]+", "_")
-    return table(spark, folder, "sample_targets").where(F.col("target_set") == name).select(spelled.alias("category"), "target_share", "min_rows")
+    return table(spark, folder, "sample_targets").select("target_set", spelled.alias("category"), "target_share", "min_rows")
+
+
+def set_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row once for each set of targets, with its category there."""
+    sets = F.array(*[F.struct(F.lit(name).alias("target_set"), F.col(field).alias("category")) for name, field in SAMPLE_SETS])
+    return class_rows(spark, folder).select(F.inline(sets), "analysis_id", "images")
 
 
 def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
-    parts = []
-    for name, field in SAMPLE_SETS:
-        sample, _ = sample_to_targets(class_rows(spark, folder), "analysis_id", field, set_targets(spark, folder, name))
-        parts.append(sample.select(F.lit(name).alias("target_set"), F.col(field).alias("category"), "analysis_id", "images"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return sample_to_targets(set_rows(spark, folder), "analysis_id", "category", set_targets(spark, folder), by="target_set")[0]
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
-    parts = []
-    for name, field in SAMPLE_SETS:
-        sample, plan = sample_to_targets(class_rows(spark, folder), "analysis_id", field, set_targets(spark, folder, name))
-        parts.append(shares_reached(sample, field, F.col("images"), plan).select(F.lit(name).alias("target_set"), "*"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sample, plan = sample_to_targets(set_rows(spark, folder), "analysis_id", "category", set_targets(spark, folder), by="target_set")
+    return shares_reached(sample, "category", F.col("images"), plan, by="target_set")
 
 
 #: What stands for "no entry is meant".
@@ -303,7 +302,9 @@ _SAMPLE = """
   rows as (select k.s target_set, k.c category, analysis_id, images, ('0x' || substr(md5('|' || analysis_id), 1, 15))::bigint h from kept),
   targets as (select target_set, regexp_replace(lower(trim(category)), '[^a-z0-9]+', '_', 'g') category, target_share, min_rows from sample_targets),
   counted as (select t.*, (select count(*) from rows r where r.target_set = t.target_set and r.category = t.category) available from targets t),
-  sized as (select *, floor(0.2 * sum(available) over (partition by target_set) + 0.5) size from counted),
+  least as (select target_set, max(ceil(min_rows / target_share)) size from counted where available >= min_rows and target_share > 0 group by all),
+  fifth as (select target_set, floor(0.2 * sum(available) + 0.5) size from counted group by all),
+  sized as (select c.*, greatest(f.size, coalesce(l.size, 0)) size from counted c join fifth f using (target_set) left join least l using (target_set)),
   wanted as (select *, greatest(floor(target_share * size + 0.5)::bigint, min_rows) wanted from sized),
   ranked as (select r.*, w.wanted, row_number() over (partition by r.target_set, r.category order by h, analysis_id) rank from rows r join wanted w using (target_set, category)),
   sampled as (select * from ranked where rank <= wanted)
@@ -313,11 +314,15 @@ _SAMPLE = """
 SQL: dict[str, str] = {
     "p1_sample": f"with {_SAMPLE} select target_set, category, analysis_id, images from sampled",
     "p1_report": f"""with {_SAMPLE},
-  reached as (select target_set, category, count(*) sampled, sum(greatest(coalesce(images, 0), 0)) amount from sampled group by all),
-  joined as (select w.*, coalesce(sampled, 0) sampled, coalesce(amount, 0) amount from wanted w left join reached using (target_set, category))
-  select target_set, category, target_share, min_rows, available, wanted, sampled::bigint sampled, greatest(0, wanted - available)::bigint deficit,
-         (sampled / sum(sampled) over (partition by target_set))::double share, (amount / sum(amount) over (partition by target_set))::double amount_share,
-         wanted <= available met from joined""",
+  all_of as (select target_set, count(*) n, sum(case when images > 0 then images else 0 end) a from sampled group by all),
+  cells as (select target_set, category, count(*) n, sum(case when images > 0 then images else 0 end) a from sampled group by all),
+  told as (select w.target_set, w.category, w.target_share, w.min_rows, w.available, w.size, w.wanted, coalesce(c.n, 0) n,
+                  coalesce(c.n / o.n, 0)::double share, coalesce(c.a / o.a, 0)::double amount_share
+           from wanted w left join all_of o on o.target_set = w.target_set left join cells c on c.target_set = w.target_set and c.category = w.category),
+  judged as (select *, n >= min_rows and share between target_share - 0.01 and target_share + 0.01 met from told)
+  select target_set, category, target_share, min_rows, available, wanted, n::bigint sampled, (wanted - n)::bigint deficit, share, amount_share, met,
+         case when met then null when n < wanted then 'supply' when min_rows > floor(target_share * size + 0.5) then 'minimum'
+              when abs(wanted / size - target_share) > 0.01 then 'rounding' else 'others' end reason from judged""",
     "p3_found": f"""with recursive p as (select {_PATH.format('image_a')} a, {_PATH.format('image_b')} b from near_duplicate_images
       where distance between 0 and 4 and image_a is not null and image_b is not null),
   n as (select i, row_number() over (order by i) k from (select a i from p where a <> b union select b from p where a <> b)),

@@ -7,13 +7,32 @@ import pytest
 from sievework.llm.mixing import mix, plan_mix
 
 
-def test_plan():
-    plan = plan_mix({"a": (1000, 10), "b": (300, 30), "c": (0, 0)}, {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 4), "d": (None, 1)})
+def plan_of(spark, supplies, goals, total=None):
+    """plan_mix by source; supplies are (tokens, texts), goals (share, repeats)."""
+    left = spark.createDataFrame([(s, *x) for s, x in supplies.items()], "source string, supply bigint, texts bigint")
+    right = spark.createDataFrame([(s, *x) for s, x in goals.items()], "source string, target_share double, max_repeats int")
+    return {r["source"]: r for r in plan_mix(left, right, total).collect()}
+
+
+def test_plan(spark):
+    plan = plan_of(spark, {"a": (1000, 10), "b": (300, 30), "c": (0, 0)}, {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 4), "d": (None, 1)})
     assert set(plan) == {"a", "b"}
-    assert sum(p["share"] for p in plan.values()) == pytest.approx(1) and sum(p["share"] * p["slope"] for p in plan.values()) == pytest.approx(0)
-    assert plan["a"]["demand"] == pytest.approx(1000) and plan["b"]["demand"] == pytest.approx(600)
-    assert plan_mix({}, {"a": (1.0, 1)}) == {} == plan_mix({"a": (5, 1)}, {"a": (1.0, 0)})
-    assert plan_mix({"a": (1000, 10)}, {"a": (1.0, 3)}, total=500)["a"] == {"share": 1.0, "demand": 500, "slope": 0.0}
+    assert sum(p["share"] for p in plan.values()) == pytest.approx(1) and sum(p["demand"] * p["slope"] for p in plan.values()) == pytest.approx(0)
+    assert plan["a"]["demand"] == pytest.approx(1300 * 5 / 8) and plan["b"]["demand"] == pytest.approx(1300 * 3 / 8)
+    assert plan_of(spark, {}, {"a": (1.0, 1)}) == {} == plan_of(spark, {"a": (5, 1)}, {"a": (1.0, 0)})
+    assert plan_of(spark, {"a": (1000, 10)}, {"a": (1.0, 3)}, total=500)["a"][1:] == (1.0, 1000, 10, 500.0, 500.0, 0.0)
+
+
+def test_a_scarce_source_falls_short_alone(spark):
+    plan = plan_of(spark, {"a": (10**9, 10**6), "b": (5, 1)}, {"a": (0.5, 1), "b": (0.5, 3)})
+    assert plan["a"]["demand"] == pytest.approx(5e8, rel=1e-6) and plan["b"]["demand"] == 15 and plan["b"]["wanted"] == pytest.approx(5e8, rel=1e-6)
+    goals = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    df = spark.createDataFrame([(i, "a", 10) for i in range(1000)] + [(-1, "b", 5), (-2, "untargeted", 7)], "id int, source string, n int")
+    uses, report = mix(df, "id", "source", "n", goals)
+    told = {r["source"]: r for r in report.collect()}
+    assert told["a"]["used_tokens"] == pytest.approx(5000, abs=10) and told["b"]["used_tokens"] == 15 and told["b"]["wanted_tokens"] == 5003
+    assert told["b"]["most_uses"] == 3 and not told["b"]["met"] and told["untargeted"]["met"] is None
+    assert uses.count() == told["a"]["used_texts"] + 3
 
 
 def texts(spark, rng):
@@ -39,7 +58,8 @@ def test_mix(spark):
     spots = [r["position"] for r in got]
     assert spots == sorted(spots) and 0 <= spots[0] and spots[-1] <= 1
     # any stretch follows the schedule: by time t, t + slope * (t * t - t) of a source's tokens are used
-    slopes = {s: p["slope"] for s, p in plan_mix({s: (sum(n or 0 for _, x, n, _ in rows if x == s), sum(1 for _, x, n, _ in rows if x == s and n)) for s in ("long", "short")}, {s: (w, m) for s, w, m in goals}).items()}
+    supplies = {s: (sum(n or 0 for _, x, n, _ in rows if x == s), sum(1 for _, x, n, _ in rows if x == s and n)) for s in ("long", "short")}
+    slopes = {s: p["slope"] for s, p in plan_of(spark, supplies, {s: (w, m) for s, w, m in goals}).items()}
     for t in (0.25, 0.5, 0.75):
         for s, a in slopes.items():
             assert sum(r["tokens"] for r in got if r["source"] == s and r["position"] <= t) / amount[s] == pytest.approx(t + a * (t * t - t), abs=0.02)

@@ -77,3 +77,23 @@ def test_empty(spark):
     assert pack(items.limit(0), "id", "n", kinds).count() == 0
     assert pack(items, "id", "n", kinds.limit(0)).count() == 0
     assert pack(items, "id", "n", kinds).count() == 1
+
+
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_many_large_kinds(spark, monkeypatch, sent):
+    from sievework.llm import packing
+
+    monkeypatch.setattr(packing, "SENT_RUNS", sent)
+    monkeypatch.setattr(packing, "RANKS", 7)
+    rng = random.Random(6)
+    items = [(i, rng.choice([400_000, 400_000, 600_000, 999_999, rng.randint(1, 1_500_000)])) for i in range(120)]
+    kinds = [(f"k{i:02}", 1_000_000 - i) for i in range(16)]
+    got = pack(spark.createDataFrame(items, "key int, n int"), "key", "n", spark.createDataFrame(kinds, "container string, capacity int")).collect()
+    for kind, capacity in kinds:
+        own = [r for r in got if r["container"] == kind]
+        boxes = defaultdict(int)
+        for r in own:
+            boxes[r["container_id"]] += r["length"]
+        assert all(r["free"] == capacity - boxes[r["container_id"]] >= 0 for r in own)
+        assert sum(boxes.values()) == sum(n for _, n in items)
+        assert sorted(capacity - x for x in boxes.values()) == best_fit(Counter(r["length"] for r in own), capacity)
