@@ -1,11 +1,12 @@
 """A compressed full-text index over a shard of keys, searched backward.
 
 The text of a shard is its keys between separators. Kept are the text's
-Burrows-Wheeler transform, one byte a symbol, and counts of every symbol at
-each block's start; the suffix array is dropped once it has ordered the
-transform. A batch of patterns is extended to the left one symbol at a time
-until its interval is empty, which gives each pattern's maximal match that
-ends where the pattern ends.
+Burrows-Wheeler transform, one byte a symbol, counts of every symbol at each
+block's start (two bytes within a superblock, four at its start) and the key
+behind each separator; the suffix array is dropped once it has ordered these.
+A batch of patterns is extended to the left one symbol at a time until its
+interval is empty, which gives each pattern's maximal match that ends where
+the pattern ends.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ import numpy as np
 
 #: Bytes that UTF-8 never uses: between keys and at the end.
 SEPARATOR, END = 0xFF, 0xFE
-BLOCK = 32
+BLOCK = 256
+#: Blocks of a superblock; its symbols must stay below 2 ** 16.
+SUPER = 128
+_PLACES = np.arange(BLOCK)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -67,23 +71,38 @@ class FMIndex:
         order = suffix_array(coded + np.uint8(1))
         self.n = len(text)
         pad = -self.n % BLOCK
-        self.bwt = np.concatenate([coded[order - 1], np.full(pad + BLOCK, 255, np.uint8)])
+        self.rows = np.concatenate([coded[order - 1], np.full(pad + BLOCK, 255, np.uint8)]).reshape(-1, BLOCK)
         counts = np.bincount(coded, minlength=len(present))
         self.before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        rows = self.bwt[: self.n + pad].reshape(-1, BLOCK)
-        self.blocks = np.zeros((len(rows) + 1, len(present)), np.uint32)
+        blocks = len(self.rows)
+        self.supers = np.zeros((-(-blocks // SUPER), len(present)), np.uint32)
+        self.blocks = np.zeros((blocks, len(present)), np.uint16)
         for c in range(len(present)):
-            self.blocks[1:, c] = np.cumsum(np.count_nonzero(rows == c, axis=1))
+            upto = np.zeros(blocks, np.int64)
+            upto[1:] = np.cumsum(np.count_nonzero(self.rows[:-1] == c, axis=1))
+            self.supers[:, c] = upto[::SUPER]
+            self.blocks[:, c] = upto - np.repeat(upto[::SUPER], SUPER)[:blocks]
+        # which key stands behind the separator that a suffix begins with
+        marks = np.flatnonzero(text == SEPARATOR)
+        mark = self.code[SEPARATOR]
+        self.key_behind = np.searchsorted(marks, order[self.before[mark] : self.before[mark + 1]]).astype(np.int32)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.rows, self.blocks, self.supers, self.key_behind))
 
     def _count(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """Occurrences of each symbol in the transform ahead of each place."""
         block = upto // BLOCK
-        places = (block * BLOCK)[:, None] + np.arange(BLOCK)
-        hit = (self.bwt[places] == symbol[:, None].astype(np.uint8)) & (places < upto[:, None])
-        return self.blocks[block, symbol].astype(np.int64) + np.count_nonzero(hit, axis=1)
+        hit = (self.rows[block] == symbol[:, None].astype(np.uint8)) & (_PLACES < (upto - block * BLOCK)[:, None])
+        ahead = np.bitwise_count(np.packbits(hit, axis=1).view(np.uint64)).sum(axis=1)
+        return self.supers[block // SUPER, symbol].astype(np.int64) + self.blocks[block, symbol] + ahead
 
     def search(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Per pattern the length of its maximal match ending at its end, and how often that occurs."""
+        length, low, high = self._intervals(patterns)
+        return length, np.where(length > 0, high - low, 0)
+
+    def _intervals(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = np.fromiter((len(p) for p in patterns), np.int64, len(patterns))
         ends = np.cumsum(size)
         flat = self.code[np.frombuffer(b"".join(patterns), np.uint8)] if len(patterns) else np.zeros(0, np.int16)
@@ -101,14 +120,17 @@ class FMIndex:
             active, done = active[alive], done + 1
             low[active], high[active], length[active] = lo[alive], hi[alive], done
             active = active[size[active] > done]
-        return length, np.where(length > 0, high - low, 0)
+        return length, low, high
 
-    def whole(self, keys: list[bytes], batch: int = 20_000) -> np.ndarray:
-        """How often each key is in the index as a whole key."""
+    def located(self, keys: list[bytes], batch: int = 20_000) -> np.ndarray:
+        """The number of the indexed key that each key is as a whole, or -1; of repeated ones any."""
         mark = bytes([SEPARATOR])
-        out = []
+        out = [np.zeros(0, np.int64)]
         for i in range(0, len(keys), batch):
             some = [mark + k + mark for k in keys[i : i + batch]]
-            length, count = self.search(some)
-            out.append(np.where(length == np.fromiter(map(len, some), np.int64, len(some)), count, 0))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+            length, low, _ = self._intervals(some)
+            full = length == np.fromiter(map(len, some), np.int64, len(some))
+            # a match that spans a whole key begins with the separator before it
+            at = np.where(full, low - self.before[self.code[SEPARATOR]], 0)
+            out.append(np.where(full, self.key_behind[at], -1))
+        return np.concatenate(out)

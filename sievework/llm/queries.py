@@ -13,7 +13,7 @@ from .garbled import examine_texts
 from .linked import group_linked
 from .mapping import fill, match_values, normalise
 from .mixing import mix
-from .overlap import cross_split_overlaps
+from .overlap import Overlaps, expanded, find_overlaps, overlap_counts
 from .packing import pack
 from .proportions import sample_to_targets, shares_reached
 from .splits import split_records, spread_report
@@ -187,28 +187,24 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return spread_report(file_splits(spark, folder), split_shares(spark, folder), class_sizes(spark, folder)).withColumnRenamed("label", "class")
 
 
-def overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    return cross_split_overlaps(reviewed_files(spark, folder), image_links(spark, folder), own_split)
+def overlaps(spark: SparkSession, folder: str) -> Overlaps:
+    return find_overlaps(reviewed_files(spark, folder), image_links(spark, folder), own_split)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = overlaps(spark, folder)
+    found = expanded(overlaps(spark, folder))
     return found.select(F.least("train_id", "held_id").alias("review_id_a"), F.greatest("train_id", "held_id").alias("review_id_b")).distinct()
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Overlapping pairs per split and dataset of the held-out file."""
-    files = reviewed_files(spark, folder).select(F.col("id").alias("held_id"), "split", dataset_folder(F.col("path")).alias("dataset"))
-    pairs = overlaps(spark, folder).groupBy("train_id", "held_id").agg(F.count_if(F.col("how") == "exact").alias("exact"), F.count_if(F.col("how") == "near").alias("near"))
+    """Overlapping pairs per split and dataset of the held-out file, counted by classes."""
+    found = overlaps(spark, folder)
+    files = found.held.select("held_id", "split", dataset_folder(F.col("path")).alias("dataset"))
     return (
-        pairs.join(files, "held_id")
+        overlap_counts(found)
+        .join(files, "held_id")
         .groupBy("split", "dataset")
-        .agg(
-            F.count(F.lit(1)).alias("pairs"),
-            F.count_if(F.col("exact") > 0).alias("exact_pairs"),
-            F.count_if(F.col("near") > 0).alias("near_pairs"),
-            F.count_distinct("held_id").alias("held_out_files"),
-        )
+        .agg(F.sum("pairs").alias("pairs"), F.sum("exact").alias("exact_pairs"), F.sum("near").alias("near_pairs"), F.count(F.lit(1)).alias("held_out_files"))
     )
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from sievework.functions.paths import own_split
 from sievework.llm.fmindex import FMIndex, suffix_array
-from sievework.llm.overlap import cross_split_overlaps, matched_keys
+from sievework.llm.overlap import cross_split_overlaps, find_overlaps, match_shard, overlap_counts, search_stream
 
 
 def test_suffix_array():
@@ -27,16 +27,40 @@ def test_search_against_brute_force():
         longest = max((k for k in range(len(p) + 1) if k == 0 or count(p[-k:])), default=0)
         # shorter suffixes of a match match too, so the longest is the maximal one
         assert length == longest and (n == count(p[len(p) - longest :]) or not longest)
-    assert [*index.whole([keys[0], b"nope", keys[0][:-1] + b"x"])][0] == keys.count(keys[0])
+    at = index.located([*keys, b"nope", keys[0] + b"x"])
+    assert [keys[i] for i in at[:-2]] == keys and [*at[-2:]] == [-1, -1]
+
+
+def test_the_index_is_small():
+    rng = random.Random(3)
+    keys = ["p:datasets/raw/Set/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(40)) for _ in range(4000)]
+    index = FMIndex([k.encode() for k in keys])
+    assert index.nbytes() < 1.5 * sum(map(len, keys))
+    assert [*index.located([k.encode() for k in keys[:300]])] == [*range(300)]
+
+
+def test_rows_come_through_the_index(monkeypatch):
+    import pandas as pd
+
+    from sievework.llm import overlap
+
+    rows = pd.DataFrame({"key": ["a", "b", "a", "ab", "b"], "ref": [None, None, "x", "y", "z"], "held": ["1", "2", None, None, None]})
+    assert match_shard(rows).values.tolist() == [["x", "1"], ["z", "2"]]
+    monkeypatch.setattr(overlap.FMIndex, "located", lambda self, keys: np.full(len(keys), -1))
+    assert match_shard(rows).empty
 
 
 @pytest.mark.parametrize("shard_bytes", [50, 10**6])
-def test_matched_keys(spark, shard_bytes):
-    train = [("a", 1), ("a", 2), ("bb", 3), ("é" * 3000, 4), (None, 5), ("", 6), ("a\nb", 7)]
-    held = [("a", 1), ("b", 2), ("é" * 3000, 3), (None, 4), ("", 5), ("a\nb", 6)]
-    make = lambda rows: spark.createDataFrame(rows, "key string, held int")
-    assert sorted(r["key"] for r in matched_keys(make(train), make(held), shard_bytes).collect()) == sorted(["a", "a\nb", "é" * 3000])
-    assert matched_keys(make([]), make(held)).count() == 0 and matched_keys(make(train), make([])).count() == 0
+def test_search_stream(spark, monkeypatch, shard_bytes):
+    from sievework.llm import overlap
+
+    monkeypatch.setattr(overlap, "HOT_ROWS", 50)
+    train = [("a", "1"), ("a", "2"), ("bb", "3"), ("é" * 3000, "4"), (None, "5"), ("", "6"), ("a\nb", "7")] + [("hot", str(i)) for i in range(100, 200)]
+    held = [("a", 1), ("b", 2), ("é" * 3000, 3), (None, 4), ("", 5), ("a\nb", 6), ("hot", 7)]
+    t, h = spark.createDataFrame([(*x, 0) for x in train], "key string, ref string, held int"), spark.createDataFrame(held, "key string, held int")
+    want = sorted([("1", "1"), ("2", "1"), ("4", "3"), ("7", "6")] + [(str(i), "7") for i in range(100, 200)])
+    assert sorted(tuple(r) for r in search_stream(t, h, shard_bytes).collect()) == want
+    assert search_stream(t.limit(0), h).count() == 0 and search_stream(t, h.limit(0)).count() == 0
 
 
 def brute(files, links):
@@ -71,3 +95,9 @@ def test_cross_split_overlaps(spark, monkeypatch, hot):
     got = [tuple(r) for r in cross_split_overlaps(f, l, own_split).select("train_id", "held_id", "how").collect()]
     assert len(got) == len(set(got)) and set(got) == brute(files, links)
     assert cross_split_overlaps(f.limit(0), l, own_split).count() == 0
+    pairs = {}
+    for t, h, _ in got:
+        pairs.setdefault(h, set()).add(t)
+    counts = {r["held_id"]: r for r in overlap_counts(find_overlaps(f, l, own_split)).where("pairs > 0").collect()}
+    assert {h: r["pairs"] for h, r in counts.items()} == {h: len(x) for h, x in pairs.items()}
+    assert sum(r["exact"] for r in counts.values()) == sum(how == "exact" for *_, how in got)
