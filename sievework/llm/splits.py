@@ -1,12 +1,17 @@
 """Splits that keep related records together and classes spread.
 
 Records and the entities they name are a bipartite graph. Each record starts
-with a label of its own, and smallest labels are passed to the entities and
-back until none changes; records that end with one label are a component. Then
+with a label of its own; labels are passed to the entities, and the smallest
+back to the records, which then take the label of their label. What holds one
+label becomes one vertex, entities with one label are done, and the rest goes
+on with labels in another order, so that a chain takes as many rounds as the
+logarithm of its length. Records that end with one label are a component. Then
 whole components are assigned: those of one main class together, the largest
 first, each to the split in which it deviates least from the classes' target
-distribution. Where that takes several tasks, the large components go first,
-all in one, and the tasks share what they leave of the targets.
+distribution, and moved on as long as that lessens the deviation. Where that
+takes several tasks, the large components go first, all in one, the tasks
+share what they leave of the targets, and in a second pass make up for what
+all together have missed.
 """
 
 from __future__ import annotations
@@ -17,43 +22,86 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import hot_keys, lookup
-from ..storage import drop, stage
+from ..operators.skew import HOT_ROWS, hot_keys, lookup
+from ..storage import drop, stage, stage_counted
 
 #: Components that one task assigns one after the other, about.
 COMPONENTS_A_TASK = 20_000
 #: Where there are several tasks, components of at least this part of all records are assigned before them; so many at most.
 LARGE = 10_000
+#: Times that a label is replaced by its own label in a round.
+JUMPS = 2
+#: Passes in which groups are moved to better splits.
+PASSES = 5
 
 
-def propagate_labels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def propagate_labels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``record`` and ``label``, the smallest record of its component.
 
     ``edges`` has ``record`` (orderable) and ``entity``, in any repetition;
-    rows with a null are ignored. A chain of components takes as many rounds
-    as it is long; more than ``max_rounds`` raise.
+    rows with a null are ignored. Rounds grow with the logarithm of the
+    longest chain; more than ``max_rounds`` raise.
     """
-    known = stage(edges.select("record", "entity").where("record is not null and entity is not null").distinct().withColumn("label", F.col("record")), "bipartite")
-    total = known.count()
-    hot_entities = hot_keys(known, "entity", total)
-    hot_records = hot_keys(known, "record", total)
-    for _ in range(max_rounds):
-        of_entity = known.groupBy("entity").agg(F.min("label").alias("low"))
-        passed = lookup(known, of_entity, "entity", hot_entities)
-        of_record = passed.groupBy("record").agg(F.min("low").alias("low"))
-        after = stage(lookup(known, of_record, "record", hot_records).select("record", "entity", F.col("low").alias("label"), (F.col("low") != F.col("label")).alias("moved")), "bipartite")
-        drop(known)
-        moved = after.where("moved").limit(1).count()
-        known = after.drop("moved")
-        known._staged_at = after._staged_at
-        if not moved:
-            return known.select("record", "label").distinct()
-    raise ValueError(f"labels still change after {max_rounds} rounds")
+    known = stage(edges.select("record", "entity").where("record is not null and entity is not null").distinct(), "bipartite")
+    records = known.select("record").distinct()
+    shared, count = stage_counted(_shared_entities(known.withColumnRenamed("record", "vertex")), "shared")
+    drop_later, levels = [], []
+    while count:
+        if len(levels) == max_rounds:
+            raise ValueError(f"labels still change after {max_rounds} rounds")
+        many = count >= HOT_ROWS
+        # labels are ordered by a hash of their own in every round
+        label = F.struct(F.xxhash64("vertex", F.lit(len(levels))).alias("order"), F.col("vertex").alias("label"))
+        of_entity = shared.groupBy("entity").agg(F.min(label).alias("low"))
+        passed = lookup(shared, of_entity, "entity", hot_keys(shared, "entity", count) if many else [])
+        labels = stage(passed.groupBy("vertex").agg(F.min("low").getField("label").alias("label")), "labels")
+        hot = hot_keys(labels, "label", labels.count()) if many else []
+        for _ in range(JUMPS):
+            above = labels.select(F.col("vertex").alias("label"), F.col("label").alias("next"))
+            jumped = stage(lookup(labels, above, "label", hot).select("vertex", F.col("next").alias("label")), "labels")
+            drop(labels)
+            labels = jumped
+            hot = hot_keys(labels, "label", labels.count()) if many else []
+        levels.append((labels, hot))
+        renamed = lookup(shared, labels, "vertex", hot_keys(shared, "vertex", count) if many else []).select(F.col("label").alias("vertex"), "entity").distinct()
+        rest, count = stage_counted(_shared_entities(renamed), "shared")
+        drop(shared)
+        shared = rest
+    drop(shared)
+    roots = None
+    for labels, hot in reversed(levels):
+        if roots is None:
+            roots = labels.select("vertex", F.col("label").alias("root"))
+            continue
+        upper = roots.select(F.col("vertex").alias("label"), "root")
+        roots = stage(lookup(labels, upper, "label", hot, "left").select("vertex", F.coalesce("root", "label").alias("root")), "roots")
+        drop_later.append(roots)
+    if roots is None:
+        return records.select("record", F.col("record").alias("label"))
+    ended = stage(records.join(roots.withColumnRenamed("vertex", "record"), "record", "left").select("record", F.coalesce("root", "record").alias("root")), "ended")
+    drop(known, *[x for x, _ in levels], *drop_later)
+    least = ended.groupBy("root").agg(F.min("record").alias("label"))
+    return lookup(ended, least, "root", hot_keys(ended, "root", ended.count())).select("record", "label")
+
 
+def _shared_entities(edges: DataFrame) -> DataFrame:
+    """The distinct edges (``vertex``, ``entity``) of entities with more than one vertex."""
+    ends = edges.groupBy("entity").agg(F.min("vertex").alias("first"), F.max("vertex").alias("last")).where(F.col("first") != F.col("last"))
+    return edges.join(ends.select("entity"), "entity", "left_semi")
 
-def assign(groups: Mapping[object, Mapping[str, int]], shares: Mapping[str, float], weights: Mapping[str, float], goals: Mapping[str, Mapping[str, float]] | None = None) -> dict[object, str]:
+
+def assign(
+    groups: Mapping[object, Mapping[str, int]],
+    shares: Mapping[str, float],
+    weights: Mapping[str, float],
+    goals: Mapping[str, Mapping[str, float]] | None = None,
+    start: Mapping[object, str] | None = None,
+) -> dict[object, str]:
     """A split for each group of class counts; least weighted squared deviation, largest groups first.
 
+    Then groups move to other splits while that lessens the deviation, in at
+    most ``PASSES`` passes; with ``start`` they begin where it says.
+
     ``goals`` says how many records of a class each split should get; without
     it they are the shares of what the groups hold.
     Ties go to the split that is furthest behind its share of the records,
@@ -70,23 +118,36 @@ def assign(groups: Mapping[object, Mapping[str, int]], shares: Mapping[str, floa
     wanted = {s: sum(goals[s].values()) for s in names}
     have = {s: dict.fromkeys(whole, 0) for s in names}
     size = dict.fromkeys(names, 0)
-    out = {}
-    for group in sorted(groups, key=lambda g: (-sum(groups[g].values()), g)):
-        counts = groups[group]
+    order = sorted(groups, key=lambda g: (-sum(groups[g].values()), g))
+
+    def added(counts: Mapping[str, int], s: str) -> float:
+        """Growth of the squared distance to the class targets, and to the size target, by the group."""
         n = sum(counts.values())
-        best = None
-        for s in names:
-            # growth of the squared distance to the class targets, and to the size target
-            cost = sum(weights.get(c, 1.0) * k * (2 * (have[s][c] - goals[s][c]) + k) for c, k in counts.items())
-            cost += n * (2 * (size[s] - wanted[s]) + n) / max(everything, 1)
-            rank = (cost, size[s] - wanted[s], s)
-            if best is None or rank < best:
-                best = rank
-        split = best[2]
-        out[group] = split
-        size[split] += n
+        cost = sum(weights.get(c, 1.0) * k * (2 * (have[s][c] - goals[s][c]) + k) for c, k in counts.items())
+        return cost + n * (2 * (size[s] - wanted[s]) + n) / max(everything, 1)
+
+    def put(counts: Mapping[str, int], s: str, sign: int) -> None:
+        size[s] += sign * sum(counts.values())
         for c, k in counts.items():
-            have[split][c] += k
+            have[s][c] += sign * k
+
+    out = {}
+    for group in order:
+        counts = groups[group]
+        out[group] = start[group] if start else min((added(counts, s), size[s] - wanted[s], s) for s in names)[2]
+        put(counts, out[group], 1)
+    for _ in range(PASSES):
+        moved = False
+        for group in order:
+            counts, now = groups[group], out[group]
+            put(counts, now, -1)
+            costs = {s: added(counts, s) for s in names}
+            best = min(names, key=lambda s: (costs[s], s))
+            if costs[best] < costs[now] - 1e-9:
+                out[group], moved = best, True
+            put(counts, out[group], 1)
+        if not moved:
+            break
     return out
 
 
@@ -119,6 +180,11 @@ def _goals(rest: DataFrame, placed: DataFrame, shares: Mapping[str, float]) -> D
     return cells.select("task", "label", F.array(*[goal(i) for i in range(len(names))]).alias("goal"))
 
 
+def _by_split(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """``got``: the sums of ``n`` per split that ``start`` names."""
+    return rows.groupBy(*by).agg(F.array(*[F.sum(F.when(F.col("start") == s, F.col("n")).otherwise(F.lit(0))) for s in names]).alias("got"))
+
+
 def split_records(records: DataFrame, edges: DataFrame, shares: Mapping[str, float], class_sizes: DataFrame, a_task: int = COMPONENTS_A_TASK) -> DataFrame:
     """``record``, ``component`` and ``split`` of every record.
 
@@ -163,7 +229,8 @@ def split_records(records: DataFrame, edges: DataFrame, shares: Mapping[str, flo
         if "goal" in rows:
             of_label = dict(zip(rows["label"], rows["goal"], strict=True))
             goals = {s: {c: of_label[c][i] for c in here} for i, s in enumerate(names)}
-        found = assign(groups, shares, weights, goals)
+        start = dict(zip(rows["component"].tolist(), rows["start"].tolist(), strict=True)) if "start" in rows else None
+        found = assign(groups, shares, weights, goals, start)
         return pd.DataFrame({"component": [*found], "split": [*found.values()]})
 
     out = f"component {kind}, split string"
@@ -176,8 +243,18 @@ def split_records(records: DataFrame, edges: DataFrame, shares: Mapping[str, flo
         first = cut.where("large").withColumn("goal", F.array(*[F.col("whole") * F.lit(float(shares[s])) for s in names]))
         placed = stage(first.groupBy("large").applyInPandas(solve, out), "placed")
         rest = cut.where("large is null").drop("large")
-        assigned = stage(placed.unionByName(rest.join(_goals(rest, first.join(placed, "component"), shares), ["task", "label"]).groupBy("task").applyInPandas(solve, out)), "assigned")
-        drop(cut, placed)
+        once = stage(rest.join(_goals(rest, first.join(placed, "component"), shares), ["task", "label"]).groupBy("task").applyInPandas(solve, out), "once")
+        # what all tasks together miss is shared by them as well
+        begun = stage(rest.join(once.withColumnRenamed("split", "start"), "component"), "begun")
+        got = _by_split(first.join(placed.withColumnRenamed("split", "start"), "component").select("label", "n", "start").unionByName(begun.select("label", "n", "start")), ["label"], names)
+        here = _by_split(begun, ["task", "label"], names).join(begun.groupBy("label").agg(F.sum("n").alias("rest"), F.max("whole").alias("whole")), "label")
+        both = here.join(got.withColumnRenamed("got", "all"), "label")
+        missed = [F.col("got")[i] + (F.col("whole") * F.lit(float(shares[s])) - F.col("all")[i]) * F.aggregate("got", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.col("rest") for i, s in enumerate(names)]
+        again = begun.join(both.select("task", "label", F.array(*missed).alias("goal")), ["task", "label"])
+        assigned = stage(placed.unionByName(again.groupBy("task").applyInPandas(solve, out)), "assigned")
+        drop(cut, placed, once, begun)
+    # by its file size Spark would broadcast a table of all components
+    assigned = assigned.hint("merge")
     hot = hot_keys(members, "component", members.count())
     return lookup(members, assigned, "component", hot).select("record", "label", "component", "split")
 

@@ -14,7 +14,13 @@ def test_propagation(spark):
     got = {r["record"]: r["label"] for r in propagate_labels(spark.createDataFrame(edges, "record int, entity string")).collect()}
     assert got == {i: 0 for i in range(20)} | {50: 50, 51: 50}
     with pytest.raises(ValueError, match="rounds"):
-        propagate_labels(spark.createDataFrame(edges, "record int, entity string"), max_rounds=2)
+        propagate_labels(spark.createDataFrame(edges, "record int, entity string"), max_rounds=0)
+
+
+def test_long_chains_take_few_rounds(spark):
+    chain = spark.range(20_000).selectExpr("id record", "explode(array(id, id + 1)) entity")
+    got = propagate_labels(chain, max_rounds=12)
+    assert got.count() == 20_000 and {r["label"] for r in got.select("label").distinct().collect()} == {0}
 
 
 def test_assign_keeps_shares():
