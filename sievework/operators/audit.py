@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import lookup
+
 
-def keep_first(items: DataFrame, group: str, item: str, conflict: Column, leakage: Column, preferred: Column) -> DataFrame:
+def keep_first(items: DataFrame, group: str, item: str, conflict: Column, leakage: Column, preferred: Column, hot: Sequence = ()) -> DataFrame:
     """One decision per item of a group.
 
     Groups in ``conflict`` lose all items; of groups with ``leakage`` a
     ``preferred`` item stays; of others the smallest item. ``conflict`` and
     ``leakage`` hold for a whole group. Adds ``decision`` (KEEP, EXCLUDE or
-    EXCLUDE_ALL), ``keep_item`` (empty if none stays) and ``reason``.
+    EXCLUDE_ALL), ``keep_item`` (empty if none stays) and ``reason``. Items
+    of a null group are left out. ``hot`` names groups of very many items.
     """
-    order = Window.partitionBy(group).orderBy(F.when(leakage & preferred, 0).otherwise(1), item)
-    first = F.first(item).over(order)
+    order = F.struct(F.when(leakage & preferred, 0).otherwise(1).alias("rank"), F.col(item).alias("item"))
+    first = items.groupBy(group).agg(F.min(order).getField("item").alias("_first"))
     return (
-        items.withColumn("_first", first)
+        lookup(items, first, group, hot)
         .withColumn("decision", F.when(conflict, "EXCLUDE_ALL").when(F.col(item) == F.col("_first"), "KEEP").otherwise("EXCLUDE"))
         .withColumn("keep_item", F.when(conflict, "").otherwise(F.col("_first")))
         .withColumn("reason", F.when(conflict, "label conflict").when(leakage, "split leakage").otherwise("exact duplicate"))
@@ -25,6 +30,15 @@ def keep_first(items: DataFrame, group: str, item: str, conflict: Column, leakag
     )
 
 
+def broken_pairs(items: DataFrame, group: str, split: str, leakage: Column) -> DataFrame:
+    """Groups with leakage that haven't exactly one train and one test item: ``group``, ``train``, ``test``.
+
+    ``require_pair`` raises for these.
+    """
+    counts = items.where(leakage & F.col(group).isNotNull()).groupBy(group).agg(*[F.count_if(F.col(split) == s).alias(s) for s in ("train", "test")])
+    return counts.where("train != 1 or test != 1")
+
+
 def require_pair(items: DataFrame, group: str, split: str, leakage: Column) -> DataFrame:
     """``items`` unchanged; raises when it is read if a group with leakage hasn't exactly one train and one test item."""
     whole = Window.partitionBy(group)

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import block_key, hex_halves, yes_no
 from ..storage import stage
-from .skew import hot_keys
-
-#: A block of fingerprints with fewer rows isn't spread; a hot one is over so many tasks.
-HOT_BLOCK, SALTS = 1_000, 64
+from .skew import HOT_ROWS, hot_keys, lookup, salted_join
 
 
 def duplicate_groups(items: DataFrame, digest: str, item: str) -> DataFrame:
@@ -72,25 +69,39 @@ def copies(items: DataFrame, item: str, fingerprint: str) -> DataFrame:
     return known.join(values, "hash").select("item", "representative", "copies")
 
 
+def bands(high: Column, low: Column, number: int, halves: bool) -> list[Column]:
+    """The bits of a fingerprint in so many slices, of the low half only or of both."""
+
+    def cut(half: Column, pieces: int) -> list[Column]:
+        edges = [32 * i // pieces for i in range(pieces + 1)]
+        return [F.shiftright(half, start).bitwiseAND(F.lit((1 << (end - start)) - 1)) for start, end in zip(edges, edges[1:], strict=False)]
+
+    return cut(high, number // 2) + cut(low, number - number // 2) if halves and number > 1 else cut(low, number)
+
+
 def near_pairs(items: DataFrame, item: str, fingerprint: str, most: int = 4, digits: int = 8) -> DataFrame:
     """Pairs of different fingerprints that share the leading hex digits and differ in at most ``most`` bits.
 
     Each fingerprint is represented by its smallest item; ``copies`` tells
     which items share one, so no pair is lost and copies aren't multiplied.
+    Of ``most + 1`` slices of the bits at least one is equal in a pair, so
+    only fingerprints of one block that share a slice are compared; a pair
+    counts where its first equal slice is.
     """
     known = items.where(F.col(fingerprint).isNotNull() & F.col(item).isNotNull())
     high, low = hex_halves(F.col("hash"))
     values = known.groupBy(F.col(fingerprint).alias("hash")).agg(F.min(item).alias("item"))
     values = stage(values.select(block_key(F.col("hash"), digits).alias("block"), "item", high.alias("high"), low.alias("low")), "fingerprints")
-    hot = hot_keys(values, "block", values.count(), least=HOT_BLOCK, share=0.001)
-    is_hot = F.col("block").isin(hot) if hot else F.lit(False)
-    # a hot block's left rows are spread over tasks, each with all its right rows
-    salt = F.when(is_hot, F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    salts = F.explode(F.sequence(F.lit(0), F.when(is_hot, F.lit(SALTS - 1)).otherwise(F.lit(0))))
-    side = lambda end, place: values.select("block", place.alias("salt"), *[F.col(c).alias(f"{c}_{end}") for c in ("item", "high", "low")])
+    slices = lambda end: bands(F.col(f"high{end}"), F.col(f"low{end}"), most + 1, digits < 8)
+    sliced = values.select("block", "item", "high", "low", F.posexplode(F.array(*slices(""))).alias("band", "slice"))
+    keyed = sliced.select(F.xxhash64("block", "band", "slice").alias("key"), "block", "band", "item", "high", "low")
+    count = values.count() * (most + 1)
+    hot = hot_keys(keyed, "key", count) if count >= HOT_ROWS else []
+    side = lambda end: keyed.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("block", "band", "item", "high", "low")])
     distance = F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b")))
-    met = side("a", salt).join(side("b", salts), ["block", "salt"]).where((F.col("item_a") < F.col("item_b")) & (distance <= most))
-    return met.select(distance.alias("distance"), "item_a", "item_b")
+    equal = F.array(*[x == y for x, y in zip(slices("_a"), slices("_b"), strict=True)])
+    met = salted_join(side("a"), side("b"), "key", hot, "item_a").where((F.col("item_a") < F.col("item_b")) & (F.col("block_a") == F.col("block_b")) & (F.col("band_a") == F.col("band_b")) & (distance <= most))
+    return met.where(F.array_position(equal, True) == F.col("band_a") + 1).select(distance.alias("distance"), "item_a", "item_b")
 
 
 def distance_histogram(pairs: DataFrame) -> DataFrame:
@@ -116,7 +127,10 @@ def verify_pairs(pairs: DataFrame, items: DataFrame, item: str, digest: str) ->
     """Pairs of distance 0 with both ends' digests and ``exact_duplicate`` YES or NO (NO if a digest is unknown)."""
     known = items.select(F.col(item).alias("_item"), F.col(digest).alias("_digest")).where("_item is not null").groupBy("_item").agg(F.min("_digest").alias("_digest"))
     at = pairs.where(F.col("distance") == 0)
+    rows = at.count()
+    # an image may be an end of many pairs
+    hot = {c: hot_keys(at, c, rows) if rows >= HOT_ROWS else [] for c in ("image_a", "image_b")}
     for end in ("a", "b"):
         side = known.select(F.col("_item").alias(f"image_{end}"), F.col("_digest").alias(f"sha256_{end}"))
-        at = at.join(side, f"image_{end}", "left")
+        at = lookup(at, side, f"image_{end}", hot[f"image_{end}"], "left")
     return at.withColumn("exact_duplicate", yes_no(F.coalesce(F.col("sha256_a") == F.col("sha256_b"), F.lit(False))))

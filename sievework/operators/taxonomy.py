@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: So many rules at most go to the labels, in one automaton; more are joined.
+SENT_RULES = 200_000
+
+
 def first_rule(labels: DataFrame, label: str, rules: DataFrame) -> DataFrame:
     """Per distinct label the ``value`` of the rule of least ``priority`` whose ``needle`` is in it; null if none.
 
-    ``rules`` has ``priority`` (unique), ``needle`` and ``value``. Labels are
-    de-duplicated first, as every label meets every rule.
+    ``rules`` has ``priority`` (unique), ``needle`` and ``value`` (text); a
+    null needle is in no label, an empty one in all. Labels are de-duplicated
+    first.
     """
-    distinct = labels.select(label).where(F.col(label).isNotNull()).distinct()
-    met = distinct.join(rules, F.contains(F.col(label), F.col("needle")), "left")
-    return met.groupBy(label).agg(F.min_by("value", "priority").alias("value"))
+    distinct = labels.select(F.col(label).alias("label")).where(F.col(label).isNotNull()).distinct()
+    usable = rules.select(F.col("priority").cast("bigint").alias("priority"), F.col("needle").cast("string").alias("needle"), F.col("value").cast("string").alias("value")).where("needle is not null")
+    if usable.limit(SENT_RULES + 1).count() > SENT_RULES:
+        met = distinct.join(usable, F.contains(F.col("label"), F.col("needle")), "left")
+        return met.groupBy(F.col("label").alias(label)).agg(F.min_by("value", "priority").alias("value"))
+    listed = sorted((r["priority"], r["needle"], r["value"]) for r in usable.collect())
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton, anywhere = ahocorasick.Automaton(), None
+        for rule in listed:
+            if not rule[1]:
+                anywhere = anywhere or rule
+            elif rule[1] not in automaton:
+                automaton.add_word(rule[1], rule)
+        if len(automaton):
+            automaton.make_automaton()
+        for b in batches:
+            found = [min(([anywhere] if anywhere else []) + ([r for _, r in automaton.iter(x)] if len(automaton) else []), default=None) for x in b["label"]]
+            yield pd.DataFrame({"label": b["label"], "value": pd.Series([r[2] if r else None for r in found], dtype=object)})
+
+    return distinct.mapInPandas(search, "label string, value string").withColumnRenamed("label", label)
 
 
 def lookup_where(rows: DataFrame, applies: Column, key: str, table: DataFrame, columns: Sequence[str], strict: bool = True) -> DataFrame:

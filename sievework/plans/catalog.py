@@ -13,6 +13,8 @@ from ..functions import vocabulary as V
 from ..functions.paths import image_path
 from ..operators import audit, clean, duplicates, quality, stats, taxonomy
 from ..operators.components import connected
+from ..operators.skew import HOT_ROWS, hot_keys, lookup
+from ..storage import stage, stage_counted
 from .tables import SQL_FILES, SQL_PAIRS, files, pairs, sql_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,11 +220,19 @@ def near_dup_relationships(spark, folder):
     return duplicates.relationships(pairs(spark, folder).where("distance = 0"), d("image_a"), d("image_b"))
 
 
+_SQL_CROP = "case when list_position(string_split({0}, '/'), 'raw') > 0 then coalesce(string_split({0}, '/')[list_position(string_split({0}, '/'), 'raw') + 1], 'unknown') else 'unknown' end"
+
+
 @query(f"""with {SQL_PAIRS} select pair_id, distance, {_SQL_DATASET.format("image_a")} dataset_a, {_SQL_DATASET.format("image_b")} dataset_b,
+  {_SQL_CROP.format("image_a")} crop_a, {_SQL_CROP.format("image_b")} crop_b,
   case when distance = 0 then 'HIGH' when distance <= 2 then 'MEDIUM' else 'LOW' end review_priority from pairs""")
 def near_dup_priority(spark, folder):
     d = lambda c: F.get(F.split(F.col(c), "/"), F.lit(2))
-    return pairs(spark, folder).select("pair_id", "distance", d("image_a").alias("dataset_a"), d("image_b").alias("dataset_b"), C.review_priority(F.col("distance")).alias("review_priority"))
+    crop = lambda c: C.crop_after_root(F.col(c))
+    return pairs(spark, folder).select(
+        "pair_id", "distance", d("image_a").alias("dataset_a"), d("image_b").alias("dataset_b"), crop("image_a").alias("crop_a"), crop("image_b").alias("crop_b"),
+        C.review_priority(F.col("distance")).alias("review_priority"),
+    )
 
 
 @query(f"""with {SQL_FILES}, {SQL_PAIRS}, k as (select file, min(digest) digest from files group by file)
@@ -268,10 +278,21 @@ def connected_components(spark, folder):
 # ---------------------------------------------------------------- audit and cleaning
 
 
+def _members(spark, folder):
+    """The files staged, those of duplicate groups with what holds for their group, and the hot digests."""
+    all_files, rows = stage_counted(files(spark, folder), "files")
+    hot = hot_keys(all_files, "digest", rows) if rows >= HOT_ROWS else []
+    grouped = duplicates.group_profile(all_files, "digest").select("digest", "split_leakage", "label_conflict", "train_and_test")
+    return all_files, lookup(all_files, grouped, "digest", hot), hot
+
+
+def _decisions(members, hot):
+    return audit.keep_first(members, "digest", "file", F.col("label_conflict") == "YES", F.col("train_and_test") == "YES", F.col("split") == "test", hot)
+
+
 def _decided(spark, folder):
-    grouped = duplicates.group_profile(files(spark, folder), "digest").select("digest", "split_leakage", "label_conflict", "train_and_test")
-    members = files(spark, folder).join(grouped, "digest")
-    return audit.keep_first(members, "digest", "file", F.col("label_conflict") == "YES", F.col("train_and_test") == "YES", F.col("split") == "test")
+    _, members, hot = _members(spark, folder)
+    return _decisions(members, hot)
 
 
 _SQL_DECIDED = f"""{SQL_FILES}, {_SQL_PROFILE},
@@ -298,15 +319,24 @@ def audit_exclude_all_groups(spark, folder):
     return audit.group_decisions(_decided(spark, folder), "digest", "EXCLUDE_ALL")
 
 
+@query(f"""with {_SQL_DECIDED} select digest, count(*) filter (split = 'train') train, count(*) filter (split = 'test') test from members where train_and_test = 'YES'
+  group by digest having count(*) filter (split = 'train') <> 1 or count(*) filter (split = 'test') <> 1""")
+def audit_broken_pairs(spark, folder):
+    _, members, _ = _members(spark, folder)
+    return audit.broken_pairs(members, "digest", "split", F.col("train_and_test") == "YES")
+
+
 @query(f"with {_SQL_DECIDED} select file from files where file not in (select file from decided where decision in ('EXCLUDE', 'EXCLUDE_ALL'))")
 def clean_manifest(spark, folder):
-    return clean.manifest(files(spark, folder), clean.excluded(_decided(spark, folder)), "file").select("file")
+    all_files, members, hot = _members(spark, folder)
+    return clean.manifest(all_files, clean.excluded(_decisions(members, hot)), "file").select("file")
 
 
 @query(f"""with {_SQL_DECIDED}, o as (select distinct file from decided where decision <> 'KEEP') select count(*) scanned, count(*) filter (o.file is null) copied, count(*) filter (o.file is not null) excluded, true adds_up
   from files f left join o on o.file = f.file""")
 def clean_log_totals(spark, folder):
-    return clean.log_totals(clean.action_log(files(spark, folder), clean.excluded(_decided(spark, folder)), "file"))
+    all_files, members, hot = _members(spark, folder)
+    return clean.log_totals(clean.action_log(all_files, clean.excluded(_decisions(members, hot)), "file"))
 
 
 @query(f"""with {SQL_FILES}, {SQL_PAIRS} select distinct image_b file from pairs where distance = 0 and image_b is not null and image_b not in (select file from files where file is not null)""")
@@ -323,16 +353,24 @@ def surviving_exclusions(spark, folder):
     return clean.surviving(listed, cleaned, "file")
 
 
-@query(f"""with {_SQL_DECIDED}, n as (select (select count(*) from files) scanned, (select count(*) from files where digest is null) corrupt,
-    (select count(*) from profile where train_and_test = 'YES') leakage, (select count(*) from decided where decision <> 'KEEP') excluded)
-  select unnest(['scanned', 'corrupt', 'leakage', 'excluded', 'final_status']) metric,
-         unnest([scanned::varchar, corrupt::varchar, leakage::varchar, excluded::varchar, case when corrupt = 0 and leakage = 0 then 'PASS' else 'FAIL' end]) as value from n""")
+@query(f"""with {_SQL_DECIDED}, {SQL_PAIRS}, listed as (select distinct image_b file from pairs where distance = 0 and image_b is not null),
+  cleaned as (select * from files where file not in (select file from decided where decision <> 'KEEP')),
+  left_over as (select digest, count(*) n, bool_or(split = 'train') and bool_or(split = 'test') leak from cleaned where digest is not null group by digest having count(*) > 1),
+  n as (select (select count(*) from cleaned) total, (select count(*) from cleaned where digest is null) corrupt, (select count(*) from left_over) "groups", (select coalesce(sum(n), 0) from left_over) "files",
+    (select count(*) from left_over where leak) leakage, (select count(*) from listed where file in (select file from cleaned)) still)
+  select unnest(['total_images', 'corrupt_images', 'exact_duplicate_groups', 'exact_duplicate_files', 'train_test_duplicate_groups', 'audit_exclusions_still_present', 'validation_status']) metric,
+         unnest([total::varchar, corrupt::varchar, "groups"::varchar, "files"::bigint::varchar, leakage::varchar, still::varchar, case when corrupt = 0 and leakage = 0 and still = 0 then 'PASS' else 'FAIL' end]) as value from n""")
 def final_gate_metrics(spark, folder):
-    all_files = files(spark, folder)
-    scanned = all_files.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("digest").isNull()).alias("corrupt"))
-    leaks = duplicates.group_profile(all_files, "digest").agg(F.count_if(F.col("train_and_test") == "YES").alias("leakage"))
-    out = audit.audit_totals(_decided(spark, folder), "digest").select("excluded")
-    return quality.gate(scanned.crossJoin(leaks).crossJoin(out), ("corrupt", "leakage"))
+    all_files, members, hot = _members(spark, folder)
+    cleaned = stage(clean.manifest(all_files, clean.excluded(_decisions(members, hot)), "file"), "cleaned")
+    listed = pairs(spark, folder).where("distance = 0 and image_b is not null").select(F.col("image_b").alias("file"))
+    return quality.final_gate(cleaned, F.col("digest").isNull(), "digest", clean.surviving(listed, cleaned, "file"))
+
+
+@query("""select doc_id, sha256(coalesce(text, '')) sha256, octet_length(encode(coalesce(text, ''))) length from documents""")
+def content_digests(spark, folder):
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return table(spark, folder, "documents").select("doc_id", T.digest(data).alias("sha256"), F.octet_length(data).cast("bigint").alias("length"))
 
 
 # ---------------------------------------------------------------- paths and labels
@@ -432,6 +470,13 @@ def alias_longest_match(spark, folder):
     return table(spark, folder, "class_taxonomy_review").where("raw_class is not null").select("taxonomy_id", C.crop_of_label(F.col("raw_class")).alias("crop"))
 
 
+@query(f"""select taxonomy_id, case when dataset = 'AcreLeaf' then 'acreleaf' when dataset in ('CanopyOne', 'DryfieldSet') then {_SQL_ALIAS} else 'unknown' end crop
+  from (select taxonomy_id, dataset, {_SQL_LOOSE.replace('{0}', 'raw_class')} n from class_taxonomy_review)""")
+def crop_of_source(spark, folder):
+    rows = table(spark, folder, "class_taxonomy_review")
+    return rows.select("taxonomy_id", C.crop_of(F.col("dataset"), F.col("raw_class"), ["AcreLeaf"], ["CanopyOne", "DryfieldSet"]).alias("crop"))
+
+
 @query("select distinct source, crop, original_class from class_mapping order by source nulls first, crop nulls first, original_class nulls first")
 def distinct_labels(spark, folder):
     return table(spark, folder, "class_mapping").select("source", "crop", "original_class").distinct().orderBy("source", "crop", "original_class")
@@ -440,16 +485,13 @@ def distinct_labels(spark, folder):
 # ---------------------------------------------------------------- taxonomy
 
 
-@query("""select taxonomy_id, dataset, t.canonical_class, case when dataset = 'CanopyOne' and c.canonical_id is not null then c.category else t.category end category
-  from class_taxonomy_review t left join canonical_classes c on dataset = 'CanopyOne' and t.canonical_class = c.canonical_class
-  where dataset is distinct from 'CanopyOne' or c.canonical_id is not null""")
+@query("""select taxonomy_id, dataset, t.canonical_class, case when dataset = 'CanopyOne' then c.category else t.category end category
+  from class_taxonomy_review t left join canonical_classes c on dataset = 'CanopyOne' and t.canonical_class = c.canonical_class""")
 def taxonomy_lookup_override(spark, folder):
+    """Rows of the dataset without an entry get null here; ``strict``, as the operator is by default, raises for them."""
     rows = table(spark, folder, "class_taxonomy_review").select("taxonomy_id", "dataset", "canonical_class", "category")
     entries = table(spark, folder, "canonical_classes").select("canonical_class", "category")
-    known = entries.select("canonical_class").withColumn("known", F.lit(True))
-    applies = F.col("dataset") == "CanopyOne"
-    answered = rows.join(known, "canonical_class", "left").where(~F.coalesce(applies, F.lit(False)) | F.col("known")).drop("known")
-    return taxonomy.lookup_where(answered, applies, "canonical_class", entries, ["category"]).select("taxonomy_id", "dataset", "canonical_class", "category")
+    return taxonomy.lookup_where(rows, F.col("dataset") == "CanopyOne", "canonical_class", entries, ["category"], strict=False)
 
 
 @query("""with fixes as (select dataset, raw_class, max(canonical_class) canonical_class, max(category) category from class_taxonomy_review

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.paths import dataset_folder, image_path, label_folder, own_split
 from ..functions.text import strip
 
-MAX_DISTANCE = 4
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

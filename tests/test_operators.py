@@ -123,6 +123,10 @@ def test_audit(spark):
     assert audit.require_pair(items, "g", "split", F.col("leak")).count() == 6
     with pytest.raises(Exception, match="one train and one test"):
         audit.require_pair(items, "g", "split", F.lit(True)).collect()
+    assert audit.broken_pairs(items, "g", "split", F.col("leak")).count() == 0
+    assert rows_of(audit.broken_pairs(items, "g", "split", F.lit(True))) == [("h", 0, 0), ("k", 0, 0)]
+    hot = audit.keep_first(items, "g", "file", F.col("conflict"), F.col("leak"), F.col("split") == "test", ["g", "h"])
+    assert rows_of(hot.select("file", "decision", "keep_item")) == rows_of(decided.select("file", "decision", "keep_item"))
     out = clean.excluded(decided)
     assert rows_of(clean.manifest(items, out, "file").select("file")) == [("b",), ("e",)]
     assert tuple(clean.log_totals(clean.action_log(items, out, "file")).first()) == (6, 2, 4, True)
@@ -130,10 +134,17 @@ def test_audit(spark):
     assert rows_of(clean.surviving(out, items, "file")) == [("a",), ("c",), ("d",), ("f",)]
 
 
-def test_taxonomy(spark):
+def test_taxonomy(spark, monkeypatch):
     rules = spark.createDataFrame([(2, "spot", "spot"), (1, "leaf spot", "leaf_spot")], "priority int, needle string, value string")
     labels = spark.createDataFrame([("leaf spot",), ("black spot",), ("x",), (None,), ("x",)], "label string")
     assert rows_of(taxonomy.first_rule(labels, "label", rules)) == [("black spot", "spot"), ("leaf spot", "leaf_spot"), ("x", None)]
+    odd = rules.unionByName(spark.createDataFrame([(3, "", "any"), (4, None, "none"), (5, "spot", "later")], rules.schema))
+    want = [("black spot", "spot"), ("leaf spot", "leaf_spot"), ("x", "any")]
+    assert rows_of(taxonomy.first_rule(labels, "label", odd)) == want
+    monkeypatch.setattr(taxonomy, "SENT_RULES", 2)
+    assert rows_of(taxonomy.first_rule(labels, "label", odd)) == want
+    monkeypatch.undo()
+    assert rows_of(taxonomy.first_rule(labels, "label", rules.limit(0))) == [("black spot", None), ("leaf spot", None), ("x", None)]
     rows = spark.createDataFrame([("A", "k", "old"), ("B", "k", "old"), (None, "k", "old")], "d string, key string, v string")
     table = spark.createDataFrame([("k", "new")], "key string, v string")
     assert rows_of(taxonomy.lookup_where(rows, F.col("d") == "A", "key", table, ["v"])) == [("A", "k", "new"), ("B", "k", "old"), (None, "k", "old")]
@@ -154,3 +165,28 @@ def test_quality(spark):
 def test_hamming_is_symmetric(spark):
     df = spark.createDataFrame([("00ff00ff00ff00ff", "ff00ff00ff00ff00")], "a string, b string")
     assert df.select(hamming(F.col("a"), F.col("b")), hamming(F.col("b"), F.col("a"))).first()[:] == (64, 64)
+
+
+def test_final_gate(spark):
+    files = spark.createDataFrame([("a", "d", "train"), ("b", "d", "test"), ("c", None, "raw"), ("e", "f", "raw"), ("g", "f", "raw")], "file string, digest string, split string")
+    left = spark.createDataFrame([("a",)], "file string")
+    told = quality.final_gate(files, F.col("digest").isNull(), "digest", left)
+    assert [tuple(r) for r in told.collect()] == [
+        ("total_images", "5"), ("corrupt_images", "1"), ("exact_duplicate_groups", "2"), ("exact_duplicate_files", "4"),
+        ("train_test_duplicate_groups", "1"), ("audit_exclusions_still_present", "1"), ("validation_status", "FAIL"),
+    ]
+    assert [r["message"] for r in quality.causes(told).collect()] == ["Corrupt Images: 1", "Train Test Duplicate Groups: 1", "Audit Exclusions Still Present: 1"]
+    fine = quality.final_gate(files.where("split = 'raw' and digest is not null"), F.col("digest").isNull(), "digest", left.limit(0))
+    assert fine.collect()[-1]["value"] == "PASS" and quality.causes(fine).count() == 0
+
+
+@pytest.mark.parametrize("most, digits", [(1, 8), (4, 4), (3, 10)])
+def test_near_pairs_of_other_forms(spark, monkeypatch, most, digits):
+    monkeypatch.setattr(duplicates, "HOT_ROWS", 10)
+    rng = random.Random(most)
+    base = rng.getrandbits(64)
+    hashes = sorted({f"{base ^ sum(1 << b for b in rng.sample(range(50), rng.randint(0, 4))):016x}" for _ in range(150)})
+    want = {(f"i{i:03d}", f"i{j:03d}") for i, g in enumerate(hashes) for j, h in enumerate(hashes) if i < j and g[:digits] == h[:digits] and bin(int(g, 16) ^ int(h, 16)).count("1") <= most}
+    items = spark.createDataFrame([(f"i{k:03d}", h) for k, h in enumerate(hashes)], "item string, hash string")
+    got = [(r["item_a"], r["item_b"]) for r in duplicates.near_pairs(items, "item", "hash", most, digits).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
