@@ -17,17 +17,21 @@ def _cosines() -> np.ndarray:
     return 2 * np.cos(np.pi * k * (2 * x + 1) / (2 * SIDE))
 
 
+def _weights(size: int, side: int, lobes: int = 3) -> np.ndarray:
+    """Lanczos weights of ``size`` pixels for each of ``side`` pixels."""
+    step = size / side
+    wide = max(step, 1.0)
+    centre = (np.arange(side) + 0.5) * step
+    x = (np.arange(size) + 0.5 - centre[:, None]) / wide
+    w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return w / w.sum(1, keepdims=True)
+
+
 def shrink(grey: np.ndarray, side: int = SIDE) -> np.ndarray:
-    """A grey image as ``side`` x ``side`` means of equal areas."""
-    rows = np.linspace(0, grey.shape[0], side + 1)
-    cols = np.linspace(0, grey.shape[1], side + 1)
-    padded = np.pad(np.cumsum(np.cumsum(grey.astype(float), 0), 1), ((1, 0), (1, 0)))
-    at = lambda r, c: padded[np.ix_(np.round(r).astype(int), np.round(c).astype(int))]
-    lo, hi, left, right = rows[:-1], np.maximum(rows[1:], rows[:-1] + 1), cols[:-1], np.maximum(cols[1:], cols[:-1] + 1)
-    hi, right = np.minimum(hi, grey.shape[0]), np.minimum(right, grey.shape[1])
-    lo, left = np.minimum(lo, hi - 1), np.minimum(left, right - 1)
-    area = np.outer(np.round(hi) - np.round(lo), np.round(right) - np.round(left))
-    return (at(hi, right) - at(lo, right) - at(hi, left) + at(lo, left)) / np.maximum(area, 1)
+    """A grey image as ``side`` x ``side``, by the Lanczos filter; rows first, whole grey levels after each pass, as image libraries do."""
+    level = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    across = level(grey.astype(float) @ _weights(grey.shape[1], side).T)
+    return level(_weights(grey.shape[0], side) @ across)
 
 
 def perceptual_hash(grey: np.ndarray) -> str:

@@ -1,17 +1,17 @@
-"""Scans: blobs, report tables, optional inputs, image headers."""
+"""Scans: blobs, image files, report tables, optional inputs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import digest, suffix
 from ..functions.vocabulary import IMAGE_SUFFIXES
+from .images import image_check, image_header  # noqa: F401
 
 
 def list_files(spark: SparkSession, root: str, suffixes: Iterable[str] = IMAGE_SUFFIXES) -> DataFrame:
@@ -50,44 +50,6 @@ def read_optional(spark: SparkSession, path: str, schema: StructType) -> DataFra
         raise
 
 
-_HEADERS = "width int, height int, format string"
-
-
-def _png(b: bytes) -> tuple | None:
-    return (int.from_bytes(b[16:20], "big"), int.from_bytes(b[20:24], "big"), "PNG") if b[:8] == b"\x89PNG\r\n\x1a\n" and len(b) >= 24 else None
-
-
-def _bmp(b: bytes) -> tuple | None:
-    return (int.from_bytes(b[18:22], "little"), abs(int.from_bytes(b[22:26], "little", signed=True)), "BMP") if b[:2] == b"BM" and len(b) >= 26 else None
-
-
-def _jpeg(b: bytes) -> tuple | None:
-    if b[:2] != b"\xff\xd8":
-        return None
-    at = 2
-    while at + 9 < len(b):
-        if b[at] != 0xFF:
-            return None
-        kind = b[at + 1]
-        if kind == 0xFF:
-            at += 1
-        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big"), "JPEG"
-        elif kind == 0x01 or 0xD0 <= kind <= 0xD7:
-            at += 2
-        else:
-            at += 2 + int.from_bytes(b[at + 2 : at + 4], "big")
-    return None
-
-
-def image_header(content: Column) -> Column:
-    """STRUCT(width, height, format) from the bytes of a PNG, JPEG or BMP file; null fields for anything else."""
-
-    @F.pandas_udf(_HEADERS)
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(_png(b) or _jpeg(b) or _bmp(b)) if b is not None else None for b in batch]
-            frame = pd.DataFrame([r or (None, None, None) for r in rows], columns=["width", "height", "format"])
-            yield frame.astype({"width": "Int32", "height": "Int32"})
-
-    return read(content)
+def validated_images(spark: SparkSession, root: str, suffixes: Iterable[str] = IMAGE_SUFFIXES) -> DataFrame:
+    """``path``, ``length``, ``status`` (valid, warning, corrupt), ``message``, ``width``, ``height`` and ``format`` of the image files."""
+    return scan_images(spark, root, suffixes).select("path", "length", image_check(F.col("content")).alias("check")).select("path", "length", "check.*")
