@@ -16,7 +16,7 @@ from .mixing import mix
 from .overlap import Overlaps, expanded, find_overlaps, overlap_counts
 from .packing import pack
 from .proportions import sample_to_targets, shares_reached
-from .splits import split_records, spread_report
+from .splits import propagate_labels, split_records, spread_report
 from .tokens import token_lengths
 
 #: A row of near_duplicate_images links its images at a distance from 0 to this.
@@ -183,6 +183,12 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     return file_splits(spark, folder).select(F.col("record").alias("review_id"), "component", F.col("label").alias("class"), "split")
 
 
+def p4_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that ever were in a group, and the smallest file of all that belong together with it."""
+    edges = table(spark, folder, "duplicate_review").select(F.col("review_id").alias("record"), F.col("group_id").alias("entity"))
+    return propagate_labels(edges).select(F.col("record").alias("review_id"), F.col("label").alias("component"))
+
+
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return spread_report(file_splits(spark, folder), split_shares(spark, folder), class_sizes(spark, folder)).withColumnRenamed("label", "class")
 
@@ -255,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_splits": p4_splits,
     "p4_report": p4_report,
+    "p4_components": p4_components,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_containers": p6_containers,
@@ -326,6 +333,11 @@ SQL: dict[str, str] = {
   e as (select a, b from d union select b, a from d),
   low(k, r) as (select k, k from n union select e.b, low.r from low join e on e.a = low.k where low.r < e.b)
   select n.i image, m.i group_image from (select k, min(r) r from low group by k) g join n on n.k = g.k join n m on m.k = g.r""",
+    "p4_components": """with recursive e as (select distinct review_id r, group_id g from duplicate_review where review_id is not null and group_id is not null),
+  n as (select distinct a.r a, b.r b from (select r, g, min(r) over (partition by g) m from e) a join e b on b.r = a.m and b.g = a.g),
+  d as (select a, b from n union select b, a from n),
+  low(k, r) as (select r, r from e union select d.b, low.r from low join d on d.a = low.k where low.r < d.b)
+  select k review_id, min(r) component from low group by k""",
     "p5_found": f"with {_FILES} select least(train_id, held_id) review_id_a, greatest(train_id, held_id) review_id_b from pairs",
     "p5_report": f"""with {_FILES} select h.split, h.dataset, count(*)::bigint pairs, sum(exact)::bigint exact_pairs, sum(near)::bigint near_pairs,
         count(distinct held_id)::bigint held_out_files from pairs join held h on h.review_id = pairs.held_id group by all""",
