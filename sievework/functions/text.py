@@ -69,11 +69,6 @@ def split_pair(key: Column) -> tuple[Column, Column]:
     return F.get(cut, F.lit(0)), F.get(cut, F.lit(1))
 
 
-def join_sorted(c: Column, sep: str = "|") -> Column:
-    """Aggregate: distinct values, sorted, joined."""
-    return F.array_join(F.array_sort(F.collect_set(c)), sep)
-
-
 def join_first_seen(items: Column, sep: str = " | ") -> Column:
     """Distinct items of an array in their order, joined."""
     return F.array_join(F.array_distinct(items), sep)
