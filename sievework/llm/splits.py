@@ -57,13 +57,13 @@ def propagate_labels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         labels = stage(passed.groupBy("vertex").agg(F.min("low").getField("label").alias("label")), "labels")
         hot = hot_keys(labels, "label", labels.count()) if many else []
         for _ in range(JUMPS):
-            above = labels.select(F.col("vertex").alias("label"), F.col("label").alias("next"))
+            above = _merged(labels.select(F.col("vertex").alias("label"), F.col("label").alias("next")))
             jumped = stage(lookup(labels, above, "label", hot).select("vertex", F.col("next").alias("label")), "labels")
             drop(labels)
             labels = jumped
             hot = hot_keys(labels, "label", labels.count()) if many else []
         levels.append((labels, hot))
-        renamed = lookup(shared, labels, "vertex", hot_keys(shared, "vertex", count) if many else []).select(F.col("label").alias("vertex"), "entity").distinct()
+        renamed = lookup(shared, _merged(labels), "vertex", hot_keys(shared, "vertex", count) if many else []).select(F.col("label").alias("vertex"), "entity").distinct()
         rest, count = stage_counted(_shared_entities(renamed), "shared")
         drop(shared)
         shared = rest
@@ -73,17 +73,22 @@ def propagate_labels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if roots is None:
             roots = labels.select("vertex", F.col("label").alias("root"))
             continue
-        upper = roots.select(F.col("vertex").alias("label"), "root")
+        upper = _merged(roots.select(F.col("vertex").alias("label"), "root"))
         roots = stage(lookup(labels, upper, "label", hot, "left").select("vertex", F.coalesce("root", "label").alias("root")), "roots")
         drop_later.append(roots)
     if roots is None:
         return records.select("record", F.col("record").alias("label"))
-    ended = stage(records.join(roots.withColumnRenamed("vertex", "record"), "record", "left").select("record", F.coalesce("root", "record").alias("root")), "ended")
+    ended = stage(records.join(_merged(roots.withColumnRenamed("vertex", "record")), "record", "left").select("record", F.coalesce("root", "record").alias("root")), "ended")
     drop(known, *[x for x, _ in levels], *drop_later)
     least = ended.groupBy("root").agg(F.min("record").alias("label"))
     return lookup(ended, least, "root", hot_keys(ended, "root", ended.count())).select("record", "label")
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """Not to be broadcast: Spark goes by the size of a staged file, which says little of its rows in memory."""
+    return df.hint("merge")
+
+
 def _shared_entities(edges: DataFrame) -> DataFrame:
     """The distinct edges (``vertex``, ``entity``) of entities with more than one vertex."""
     ends = edges.groupBy("entity").agg(F.min("vertex").alias("first"), F.max("vertex").alias("last")).where(F.col("first") != F.col("last"))
@@ -201,7 +206,7 @@ def split_records(records: DataFrame, edges: DataFrame, shares: Mapping[str, flo
     shares = {s: x / sum(shares.values()) for s, x in shares.items()}
     components = propagate_labels(edges).select("record", F.col("label").alias("component"))
     clean = records.select("record", F.coalesce("label", F.lit("")).alias("label"))
-    members = stage(clean.join(components, "record", "left").select("record", "label", F.coalesce("component", "record").alias("component")), "members")
+    members = stage(clean.join(_merged(components), "record", "left").select("record", "label", F.coalesce("component", "record").alias("component")), "members")
     counts = stage(members.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")), "counts")
     main = counts.groupBy("component").agg(F.max(F.struct("n", "label")).getField("label").alias("main"))
     mains = main.groupBy("main").agg(F.count(F.lit(1)).alias("of_main"))
@@ -245,7 +250,7 @@ def split_records(records: DataFrame, edges: DataFrame, shares: Mapping[str, flo
         rest = cut.where("large is null").drop("large")
         once = stage(rest.join(_goals(rest, first.join(placed, "component"), shares), ["task", "label"]).groupBy("task").applyInPandas(solve, out), "once")
         # what all tasks together miss is shared by them as well
-        begun = stage(rest.join(once.withColumnRenamed("split", "start"), "component"), "begun")
+        begun = stage(rest.join(_merged(once.withColumnRenamed("split", "start")), "component"), "begun")
         got = _by_split(first.join(placed.withColumnRenamed("split", "start"), "component").select("label", "n", "start").unionByName(begun.select("label", "n", "start")), ["label"], names)
         here = _by_split(begun, ["task", "label"], names).join(begun.groupBy("label").agg(F.sum("n").alias("rest"), F.max("whole").alias("whole")), "label")
         both = here.join(got.withColumnRenamed("got", "all"), "label")
@@ -253,10 +258,8 @@ def split_records(records: DataFrame, edges: DataFrame, shares: Mapping[str, flo
         again = begun.join(both.select("task", "label", F.array(*missed).alias("goal")), ["task", "label"])
         assigned = stage(placed.unionByName(again.groupBy("task").applyInPandas(solve, out)), "assigned")
         drop(cut, placed, once, begun)
-    # by its file size Spark would broadcast a table of all components
-    assigned = assigned.hint("merge")
     hot = hot_keys(members, "component", members.count())
-    return lookup(members, assigned, "component", hot).select("record", "label", "component", "split")
+    return lookup(members, _merged(assigned), "component", hot).select("record", "label", "component", "split")
 
 
 def spread_report(assigned: DataFrame, shares: Mapping[str, float], class_sizes: DataFrame) -> DataFrame:
