@@ -118,9 +118,10 @@ def find_overlaps(files: DataFrame, links: DataFrame, split_of: Callable[[Column
     exact = hits("d:").select(F.col("ref").cast(kind).alias("train_id"), "class")
 
     met = hits("p:").withColumnRenamed("ref", "path")
-    by_path = lookup(met, train.where(F.col("path").isNotNull()).select("path", "train_id", F.col("digest").alias("train_digest")), "path", hot_keys(met, "path", met.count())).drop("path")
+    of_train = train.where(F.col("path").isNotNull()).select("path", "train_id", F.col("digest").alias("train_digest"))
+    by_path = salted_join(met, of_train, "path", hot_keys(met, "path", met.count()), "class", SALTS).drop("path")
     of_path = members("path").select("held_id", "class", F.col("digest").alias("held_digest"))
-    paired = salted_join(by_path, of_path, "class", hot_keys(by_path, "class", by_path.count()), "train_id")
+    paired = salted_join(by_path, of_path, "class", hot_keys(by_path, "class", by_path.count()), "train_id", SALTS)
     near = paired.select("train_id", "held_id", F.coalesce(F.col("train_digest") == F.col("held_digest"), F.lit(False)).alias("same"))
     return Overlaps(exact, members("digest").select("held_id", "class"), stage(near, "near"), held)
 
